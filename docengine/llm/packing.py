@@ -11,6 +11,7 @@ levels (length and salt), so a length that holds a third of all pieces isn't gat
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from array import array
 from collections import Counter
@@ -30,6 +31,7 @@ REMEMBERED = 1 << 19
 PIECES_PER_SALT = 20_000
 #: What stands for the end of a document.
 END_ID = 2
+TWO_SPACES = re.compile(r"\s\s")
 
 
 def byte_of_letter() -> dict[str, int]:
@@ -47,6 +49,11 @@ def vocabulary(definition: str) -> tuple[dict[bytes, int], dict[str, int]]:
     return {bytes(map(letters.__getitem__, t)): i for t, i in j["model"]["vocab"].items() if t not in special}, special
 
 
+def loose(text: str) -> bool:
+    """Whether white space stands at an end of the text or beside other white space."""
+    return text[:1].isspace() or text[-1:].isspace() or TWO_SPACES.search(text) is not None
+
+
 class Encoder:
     """Ids of whole texts, as little-endian unsigned 32-bit numbers in bytes.
 
@@ -68,18 +75,10 @@ class Encoder:
         return out.tobytes()
 
     def __call__(self, text: str) -> bytes:
-        first, *parts = text.split(" ")
-        if not parts:
-            return self.plain(text)
-        if not all(parts) or first.isspace() or not first:
+        if loose(text):
             return self._with_spaces(text)
-        out = [self.plain(first)]
-        get = self.inner.__getitem__
-        for part in parts:
-            if part[0].isspace() or part[-1].isspace():
-                return self._with_spaces(text)
-            out.append(get(part))
-        return b"".join(out)
+        first, *parts = text.split(" ")
+        return self.plain(first) + b"".join(map(self.inner.__getitem__, parts))
 
     def _with_spaces(self, text: str) -> bytes:
         """The same where spaces meet other white space: such parts stay together."""
@@ -96,16 +95,17 @@ class Encoder:
 
 
 class Remembered(dict):
-    """What ``of`` gives for a key, remembered for up to REMEMBERED short keys, then forgotten and begun again."""
+    """What ``of`` gives for a key, remembered for up to ``most`` short keys, then forgotten and begun again."""
 
-    def __init__(self, of: Callable[[str], object]):
+    def __init__(self, of: Callable, most: int = REMEMBERED):
         super().__init__()
         self.of = of
+        self.most = most
 
-    def __missing__(self, key: str):
+    def __missing__(self, key: str | int):
         out = self.of(key)
-        if len(key) <= 48:
-            if len(self) >= REMEMBERED:
+        if isinstance(key, int) or len(key) <= 48:
+            if len(self) >= self.most:
                 self.clear()
             self[key] = out
         return out
