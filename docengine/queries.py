@@ -122,12 +122,12 @@ def refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN source || '#px' ELSE source END AS document, CASE WHEN doc_id % 4 < 2 THEN (doc_id % 5)::INT END AS page FROM documents"
+    "SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN source || '#px' ELSE source END AS document, CASE WHEN doc_id % 4 < 2 THEN doc_id % 5 + 1 ELSE 0 END::INT AS page FROM documents"
 )
 def expected_source_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("doc_id")
-    tail = F.when(d % 4 < 2, F.concat(F.when(d % 2 == 0, "#p").otherwise("#P"), (d % 5).cast("string"))).when(d % 4 == 3, "#px").otherwise("")
-    return table(spark, sf_dir, "documents").select("doc_id", X.expected_source(F.concat("source", tail)).alias("e")).select("doc_id", "e.document", "e.page")
+    tail = F.when(d % 4 < 2, F.concat(F.when(d % 2 == 0, "#p").otherwise("#P"), (d % 5 + 1).cast("string"))).when(d % 4 == 3, "#px").otherwise("")
+    return table(spark, sf_dir, "documents").select("doc_id", X.expected_source(F.concat("source", tail)).alias("e")).select("doc_id", "e.document", F.coalesce("e.page", F.lit(0)).alias("page"))
 
 
 @query("SELECT doc_id, left(sha256(lang || '/' || source || '-' || doc_id), 16) AS hashed, left(sha256(lang || '/' || source || '-' || doc_id), 16) || ':0' AS chunk_id FROM documents")
@@ -230,32 +230,36 @@ def _met(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fusion_sql(w1: float, w2: float) -> str:
-    fused = f"SELECT item_id, doc_id, coalesce({w1}::DOUBLE / (60 + kw.rank), 0.0) + coalesce({w2}::DOUBLE / (60 + met.rank), 0.0) AS score, met.rank::INT AS vector_rank, kw.rank::INT AS keyword_rank FROM met FULL OUTER JOIN kw USING (item_id, doc_id)"
+    fused = f"SELECT item_id, doc_id, coalesce({w1}::DOUBLE / (60 + kw.rank), 0.0) + coalesce({w2}::DOUBLE / (60 + met.rank), 0.0) AS score, coalesce(met.rank, 0)::INT AS vector_rank, coalesce(kw.rank, 0)::INT AS keyword_rank FROM met FULL OUTER JOIN kw USING (item_id, doc_id)"
     return f"{_BM25} {_MET}, fused AS ({fused})"
 
 
 _FUSED_OUT = "SELECT item_id AS query_id, doc_id AS chunk_id, round(score, 9) AS score, vector_rank, keyword_rank, (row_number() OVER (PARTITION BY item_id ORDER BY round(score, 12) DESC, doc_id::VARCHAR))::INT AS rank FROM fused"
 
 
+def _zero_for_none(found: DataFrame) -> DataFrame:
+    return found.fillna(0, ["vector_rank", "keyword_rank"])
+
+
 def _fused(spark: SparkSession, sf_dir: str, weights: list[float] | None = None) -> DataFrame:
     return S.fuse([_met(spark, sf_dir), _keyword(spark, sf_dir)], 60, weights)
 
 
 @query(_fusion_sql(1.0, 1.0) + _FUSED_OUT)
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fused(spark, sf_dir).withColumn("score", F.round("score", 9))
+    return _zero_for_none(_fused(spark, sf_dir).withColumn("score", F.round("score", 9)))
 
 
 @query(_fusion_sql(1.0, 0.5).replace("1.0::DOUBLE / (60 + kw.rank)", "0.5::DOUBLE / (60 + kw.rank)").replace("0.5::DOUBLE / (60 + met.rank)", "2.0::DOUBLE / (60 + met.rank)") + _FUSED_OUT)
 def rrf_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fused(spark, sf_dir, [2.0, 0.5]).withColumn("score", F.round("score", 9))
+    return _zero_for_none(_fused(spark, sf_dir, [2.0, 0.5]).withColumn("score", F.round("score", 9)))
 
 
-@query(f"SELECT item_id AS query_id, doc_id AS chunk_id, round(1.0::DOUBLE / (60 + rank), 9) AS score, NULL::INT AS vector_rank, rank::INT AS keyword_rank, rank::INT AS rank FROM ({_BM25.rstrip().rstrip(',')} SELECT * FROM kw) WHERE rank <= 5")
+@query(f"SELECT item_id AS query_id, doc_id AS chunk_id, round(1.0::DOUBLE / (60 + rank), 9) AS score, 0::INT AS vector_rank, rank::INT AS keyword_rank, rank::INT AS rank FROM ({_BM25.rstrip().rstrip(',')} SELECT * FROM kw) WHERE rank <= 5")
 def single_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = _chunks(spark, sf_dir).withColumn("chunk_id", F.col("chunk_id"))
+    chunks = _chunks(spark, sf_dir)
     found = S.hybrid_search(_questions(spark, sf_dir), chunks, S.keyword_index(chunks), 5, 20, 60, "keyword")
-    return found.select("query_id", F.col("chunk_id").cast("long").alias("chunk_id"), F.round("score", 9).alias("score"), "vector_rank", "keyword_rank", "rank")
+    return _zero_for_none(found.select("query_id", F.col("chunk_id").cast("long").alias("chunk_id"), F.round("score", 9).alias("score"), "vector_rank", "keyword_rank", "rank"))
 
 
 _RERANKED = f"""{_fusion_sql(1.0, 1.0)}, ranked AS ({_FUSED_OUT}),
@@ -340,10 +344,10 @@ rows_ AS (SELECT b.item_id AS query_id, CASE WHEN min(rank) <= 3 THEN 1.0 ELSE 0
  count(DISTINCT no) FILTER (rank <= 3)::DOUBLE / 3 AS recall FROM benchmark b LEFT JOIN hits USING (item_id) GROUP BY b.item_id)"""
 
 
-@query(f"{_TOP5}, {_EXPECTED} SELECT query_id, hit, round(reciprocal_rank, 9) AS reciprocal_rank, first_relevant_rank, round(recall, 9) AS recall FROM rows_")
+@query(f"{_TOP5}, {_EXPECTED} SELECT query_id, hit, round(reciprocal_rank, 9) AS reciprocal_rank, coalesce(first_relevant_rank, 0) AS first_relevant_rank, round(recall, 9) AS recall FROM rows_")
 def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = _measured(spark, sf_dir)
-    return m.select("query_id", "hit", F.round("reciprocal_rank", 9).alias("reciprocal_rank"), "first_relevant_rank", F.round("recall", 9).alias("recall"))
+    return m.select("query_id", "hit", F.round("reciprocal_rank", 9).alias("reciprocal_rank"), F.coalesce("first_relevant_rank", F.lit(0)).alias("first_relevant_rank"), F.round("recall", 9).alias("recall"))
 
 
 @query(f"{_TOP5}, {_EXPECTED} SELECT count(*) AS examples, round(avg(hit), 4) AS hit, round(avg(reciprocal_rank), 4) AS mrr, round(avg(recall), 4) AS recall FROM rows_")
