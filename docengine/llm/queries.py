@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, line_rules, mixing, packing, pii, pivots, quality_fm, simhash, tokens, url_filter
+from . import language, line_rules, mixing, oracles, packing, pii, pivots, quality_fm, simhash, tokens, url_filter
 from .common import fold_of, table
 
 
@@ -64,4 +64,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_source_mix, op2_pii, op3_ppm_language, op4_fm_quality, op5_line_rules, op6_simhash, op7_link_trust, op8_pattern_packing, op9_pivot_index, op10_token_counts)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_source_mix": oracles.SOURCE_MIX,
+    "op5_line_rules": oracles.LINE_RULES,
+    "op9_pivot_index": oracles.PIVOT_INDEX,
+}
