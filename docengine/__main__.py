@@ -1,4 +1,4 @@
-"""python -m docengine ingest | query | collections | eval"""
+"""python -m docengine ingest | query | collections | eval | serve"""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from . import providers
 from .config import load
 from .operators import metrics
 from .plans.engine import Engine
+from .server import server
 from .sources import dataset
 
 
@@ -27,7 +28,11 @@ def parser() -> argparse.ArgumentParser:
     ask.add_argument("question")
     ask.add_argument("--collection", default="default")
     ask.add_argument("--top-k", type=int)
+    ask.add_argument("--json", action="store_true", help="print the whole answer")
     commands.add_parser("collections", help="list collections")
+    serve = commands.add_parser("serve", help="answer over HTTP")
+    serve.add_argument("--host", default="127.0.0.1")
+    serve.add_argument("--port", type=int, default=8000)
     ev = commands.add_parser("eval", help="measure answers to a set of examples")
     ev.add_argument("--dataset", required=True)
     ev.add_argument("--docs", help="files to store first, in every collection that the examples name")
@@ -80,9 +85,16 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             print(f"{r.name}: {r.documents} documents, {r.chunks} chunks")
     elif a.command == "query":
         r = engine.answer(engine.questions(a.collection, a.question), a.top_k).first()
+        if a.json:
+            print(json.dumps({"answer": r.answer, "citations": [c.asDict() for c in r.citations], "retrieved": [c.asDict() for c in r.retrieved]}, indent=2, ensure_ascii=False))
+            return 0
         print(r.answer)
         for c in r.citations:
             print(f"[{c.ref}] {c.document}" + (f", page {c.page}" if c.page else "") + (f", {c.heading}" if c.heading else ""))
+    elif a.command == "serve":
+        if not settings.api_keys:
+            print("no API keys are set: everyone may see everything", file=sys.stderr)
+        server(engine, a.host, a.port).serve_forever()
     else:
         return evaluate(engine, a)
     return 0

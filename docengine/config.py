@@ -42,6 +42,7 @@ class Settings:
     reranker: str = "none"
     api_keys: dict[str, list[str]] = field(default_factory=dict)
     max_upload_mb: int = 25
+    cors_origins: list[str] = field(default_factory=list)
 
     def __post_init__(self) -> None:
         for name, least, most in (("chunk_size", 50, None), ("chunk_overlap", 0, self.chunk_size - 1), ("top_k", 1, 50), ("candidate_k", 1, 200), ("rrf_k", 1, None), ("embedding_batch_size", 1, None), ("embedding_dim", 1, None)):
@@ -60,7 +61,7 @@ def _parsed(kind: str, said: str):
         return int(said)
     if kind.startswith("float"):
         return float(said)
-    return json.loads(said) if kind.startswith("dict") else said
+    return json.loads(said) if kind.startswith(("dict", "list")) else said
 
 
 def load(env: dict[str, str] | None = None, env_file: str | None = ".env", **own) -> Settings:

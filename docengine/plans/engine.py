@@ -66,8 +66,8 @@ class Engine:
             ids = good.select("collection", X.doc_id(F.col("collection"), F.col("name")).alias("doc_id"))
             self.store.replace(ids, vectors)
             counts = self.store.chunks(collection).groupBy("doc_id").agg(F.count("*").alias("chunks"))
-            report = parsed.select(F.col("name").alias("document"), X.doc_id(F.col("collection"), F.col("name")).alias("doc_id"), "pages", "error").join(counts, "doc_id", "left")
-            rows = report.select("document", "doc_id", F.coalesce("chunks", F.lit(0)).alias("chunks"), "pages", "error").orderBy("document")
+            report = parsed.select(F.col("name").alias("document"), X.doc_id(F.col("collection"), F.col("name")).alias("doc_id"), "pages", "error_kind", "error").join(counts, "doc_id", "left")
+            rows = report.select("document", "doc_id", F.coalesce("chunks", F.lit(0)).alias("chunks"), "pages", "error_kind", "error").orderBy("document")
             return self.spark.createDataFrame(rows.collect(), rows.schema)  # a row for each file that was given
         finally:
             parsed.unpersist()
