@@ -19,6 +19,16 @@ from ..functions import text as X
 QUERY_BLOCK = 4096
 
 
+def beside(queries: DataFrame, *derived: DataFrame) -> list[DataFrame]:
+    """Tables with a bounded number of rows for each question, to be broadcast if there are few enough questions.
+
+    The other side of their joins (postings, chunks) grows with the data and stays where it is then. Beyond
+    QUERY_BLOCK questions the joins shuffle by their keys.
+    """
+    few = queries.select("query_id").limit(QUERY_BLOCK + 1).count() <= QUERY_BLOCK
+    return [F.broadcast(x) if few else x for x in derived]
+
+
 class KeywordIndex(NamedTuple):
     """Tables of a BM25 index; each is partitioned work of its own, none is held by a process."""
 
@@ -52,8 +62,10 @@ def keyword_search(queries: DataFrame, index: KeywordIndex, k: int, k1: float =
     the question's tokens, so scores don't depend on the order of rows.
     """
     asked = queries.select("query_id", "collection", F.posexplode(X.tokenize(F.col("question"))).alias("at", "term"))
-    weighed = asked.join(index.terms, ["collection", "term"]).join(index.collections, "collection")
-    met = weighed.join(index.postings, ["collection", "term"])
+    (asked,) = beside(queries, asked)
+    weighed = index.terms.join(asked, ["collection", "term"]).join(index.collections, "collection")
+    (weighed,) = beside(queries, weighed)
+    met = index.postings.join(weighed, ["collection", "term"])
     tf = F.col("tf")
     part = idf(F.col("n"), F.col("df")) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     parts = F.array_sort(F.collect_list(F.struct("at", part.alias("part"))))
@@ -78,10 +90,13 @@ def check_dimension(embedding: Column, query: Column) -> Column:
 def vector_search(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """(query_id, chunk_id, score, rank) of the k nearest chunks of each question, exactly; ties go by chunk id.
 
-    There is no least similarity. Spark cuts each task's rows to k for each question before it shuffles them.
+    There is no least similarity. Questions are broadcast to the chunks, and Spark cuts each task's rows to k for each
+    question before it shuffles them. More questions than QUERY_BLOCK go by blocks.
     """
     q = queries.select("query_id", "collection", "q_embedding")
-    met = q.join(chunks.select("collection", "chunk_id", "embedding"), "collection")
+    if q.limit(QUERY_BLOCK + 1).count() > QUERY_BLOCK:
+        return vector_search_blocks(queries, chunks, k)
+    met = chunks.select("collection", "chunk_id", "embedding").join(F.broadcast(q), "collection")
     scored = met.select("query_id", "chunk_id", cosine(check_dimension(F.col("embedding"), F.col("q_embedding")), F.col("q_embedding")).alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
@@ -246,5 +261,6 @@ def hybrid_search(queries: DataFrame, chunks: DataFrame, index: KeywordIndex | N
     vector = vector_search(queries, chunks, n) if mode != "keyword" else none
     keyword = keyword_search(queries, index, n) if mode != "vector" and index is not None else none
     fused = fuse([vector, keyword], rrf_k)
-    full = fused.join(chunks.drop("embedding"), "chunk_id").join(queries.select("query_id", "question"), "query_id")
+    asked, fused = beside(queries, queries.select("query_id", "question"), fused)
+    full = chunks.drop("embedding").join(fused, "chunk_id").join(asked, "query_id")
     return rerank(full).where(F.col("rank") <= top_k)
