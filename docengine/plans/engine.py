@@ -55,10 +55,7 @@ class Engine:
         access.check_collection_name(collection)
         s = self.settings
         options = chunking or ChunkingOptions(s.chunk_size, s.chunk_overlap, s.heading_aware)
-        named = found.withColumn("name", X.base_name(F.col("name")))
-        path = F.col("path") if "path" in found.columns else F.lit("")
-        last = named.groupBy("name").agg(F.max_by("content", path).alias("content"))
-        parsed = files.parse(last, strict).withColumn("collection", F.lit(collection)).persist()
+        parsed = files.parse(files.last_of_name(found.withColumn("name", X.base_name(F.col("name")))), strict).withColumn("collection", F.lit(collection)).persist()
         try:
             good = parsed.where("error is null")
             chunks = chunk_documents(good, options)

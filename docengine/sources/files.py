@@ -26,6 +26,27 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
     return files.where(wanted).select("path", X.base_name(F.col("path")).alias("name"), "content")
 
 
+#: Up to so many files that another of their name replaces are broadcast.
+BROADCAST_PATHS = 100_000
+
+
+def last_of_name(files: DataFrame) -> DataFrame:
+    """Of several files (name, content[, path]) of one name, the one with the greatest path.
+
+    Names and paths alone are compared, so contents aren't shuffled (nor read for it) unless very many names repeat.
+    Without paths any one of a name stays.
+    """
+    if "path" not in files.columns:
+        return files.groupBy("name").agg(F.first("content").alias("content"))
+    paths = files.select("name", "path")
+    last = paths.groupBy("name").agg(F.max("path").alias("last"), F.count("*").alias("n")).where("n > 1")
+    earlier = paths.join(last, "name").where("path != last").select("path")
+    n = earlier.limit(BROADCAST_PATHS + 1).count()
+    if not n:
+        return files
+    return files.join(F.broadcast(earlier) if n <= BROADCAST_PATHS else earlier, "path", "left_anti")
+
+
 def parse(files: DataFrame, strict: bool = True) -> DataFrame:
     """(name, title, pages, sections, error_kind, error) of rows (name, content).
 

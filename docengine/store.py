@@ -95,19 +95,16 @@ class ChunkStore:
         self._commit(number, new)
 
     def replace(self, documents: DataFrame, chunks: DataFrame) -> None:
-        """All chunks of ``documents`` (collection, doc_id) give way to ``chunks``, in one step.
+        """All chunks of ``documents`` (collection, doc_id) give way to ``chunks``, which are theirs, in one step.
 
         A document without new chunks is gone afterwards.
         """
         number, held = self.manifest()
-        names = [r.collection for r in documents.select("collection").union(chunks.select("collection")).distinct().collect()]
         gone = documents.select("collection", "doc_id").distinct()
         touched = {}
-        for c in names:
-            kept = self.chunks(c).join(gone.where(F.col("collection") == c), ["collection", "doc_id"], "left_anti") if c in held else None
+        for c in [r.collection for r in gone.select("collection").distinct().collect()]:
             own = chunks.where(F.col("collection") == c)
-            own = own.join(kept.select("chunk_id"), "chunk_id", "left_anti").unionByName(kept) if kept is not None else own
-            touched[c] = own
+            touched[c] = own.unionByName(self.chunks(c).join(gone, ["collection", "doc_id"], "left_anti")) if c in held else own
         if touched:
             self._write(touched, number, held)
 

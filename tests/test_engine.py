@@ -104,6 +104,15 @@ def test_s1_scan(spark, folder):
     assert [r.name for r in files.scan(spark, f"{folder}/notes.bin").collect()] == ["notes.bin"]
 
 
+def test_s1_last_of_name(spark, monkeypatch):
+    rows = [("a", "1/a", b"x"), ("a", "2/a", b"y"), ("b", "1/b", b"z")]
+    df = spark.createDataFrame([(n, p, bytearray(c)) for n, p, c in rows], "name string, path string, content binary")
+    for bound in (100, 0):
+        monkeypatch.setattr(files, "BROADCAST_PATHS", bound)
+        assert sorted(bytes(r.content) for r in files.last_of_name(df).collect()) == [b"y", b"z"]
+    assert files.last_of_name(df.drop("path")).count() == 2 and files.last_of_name(df.where("name = 'b'")).count() == 1
+
+
 def test_s11_dataset(spark, examples, tmp_path):
     got = dataset.with_expected(dataset.read_examples(spark, examples)).orderBy("line").collect()
     assert [r.id for r in got] == ["leave", "parents", "battery", "password", "incident", "line-8"]
