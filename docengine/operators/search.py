@@ -40,16 +40,27 @@ class KeywordIndex(NamedTuple):
 def keyword_index(chunks: DataFrame, text: Column | None = None) -> KeywordIndex:
     """Postings, document frequencies and corpus figures of chunks (collection, chunk_id, doc_name, idx, ...).
 
-    Chunks without tokens count as documents. Term counts are aggregated where the chunk is read, before any shuffle.
+    Chunks without tokens count as documents. Term counts are aggregated where the chunk is read, before any shuffle;
+    all other figures come from the postings, so texts are tokenised once where the postings are kept.
     """
     said = X.search_text(F.col("heading"), F.col("text")) if text is None else text
     toks = chunks.select("collection", "chunk_id", "doc_name", "idx", X.tokenize(said).alias("tokens")).withColumn("dl", F.size("tokens"))
-    postings = toks.select("collection", "chunk_id", "doc_name", "idx", "dl", F.explode("tokens").alias("term")).groupBy("collection", "chunk_id", "doc_name", "idx", "dl", "term").agg(F.count("*").alias("tf"))
+    split = toks.select("collection", "chunk_id", "doc_name", "idx", "dl", each("tokens").alias("term")).where("term is not null")
+    postings = split.groupBy("collection", "chunk_id", "doc_name", "idx", "dl", "term").agg(F.count("*").alias("tf"))
     terms = postings.groupBy("collection", "term").agg(F.count("*").alias("df"))
-    figures = toks.groupBy("collection").agg(F.count("*").alias("n"), (F.sum("dl") / F.count("*")).alias("avgdl"))
+    sums = postings.groupBy("collection").agg(F.sum("tf").alias("all"))
+    figures = chunks.groupBy("collection").agg(F.count("*").alias("n")).join(sums, "collection", "left").select("collection", "n", (F.coalesce("all", F.lit(0)) / F.col("n")).alias("avgdl"))
     return KeywordIndex(postings, terms, figures)
 
 
+def each(array: str | Column) -> Column:
+    """The elements of an array, null for an empty one.
+
+    Unlike ``explode`` it has Spark infer no filter on the array's size, for which the array would be computed twice.
+    """
+    return F.explode_outer(array)
+
+
 def idf(n: Column, df: Column) -> Column:
     """Always positive: ln(1 + (N - n + 0.5) / (n + 0.5))."""
     return F.log(F.lit(1.0) + (n - df + 0.5) / (df + 0.5))

@@ -66,13 +66,13 @@ def tokenize_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT token, {_stem('token')} AS stemmed, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), {_WORD})) AS token FROM documents) GROUP BY token")
 def stem_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = table(spark, sf_dir, "documents").select(F.explode(X.raw_tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    counts = table(spark, sf_dir, "documents").select(S.each(X.raw_tokens(F.col("text"))).alias("token")).where("token is not null").groupBy("token").agg(F.count("*").alias("n"))
     return counts.select("token", X.stem(F.col("token")).alias("stemmed"), "n")
 
 
 @query(f"SELECT lang, term, count(*) AS n FROM (SELECT lang, unnest({_tokens('text')}) AS term FROM documents) GROUP BY ALL")
 def term_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("lang", F.explode(X.tokenize(F.col("text"))).alias("term")).groupBy("lang", "term").agg(F.count("*").alias("n"))
+    return table(spark, sf_dir, "documents").select("lang", S.each(X.tokenize(F.col("text"))).alias("term")).where("term is not null").groupBy("lang", "term").agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT doc_id, len(s) AS n_sentences, array_to_string(s, '|') AS sentences FROM (SELECT doc_id, {_sentences('text')} AS s FROM documents)")
@@ -161,7 +161,7 @@ kw AS (SELECT * FROM (SELECT item_id, doc_id, source, score, row_number() OVER (
 
 @query(f"SELECT term, df, round(ln(1.0 + (n - df + 0.5) / (df + 0.5)), 9) AS idf FROM ({_BM25.rstrip().rstrip(',')} SELECT term, df, n FROM dfs CROSS JOIN figs)")
 def bm25_term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = S.keyword_index(_chunks(spark, sf_dir))
+    index = _index(spark, sf_dir)
     return index.terms.join(index.collections, "collection").select("term", "df", F.round(S.idf(F.col("n"), F.col("df")), 9).alias("idf"))
 
 
@@ -170,8 +170,14 @@ def bm25_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.keyword_index(_chunks(spark, sf_dir)).postings.select("chunk_id", "term", "tf", F.col("dl").cast("long").alias("dl"))
 
 
+def _index(spark: SparkSession, sf_dir: str) -> S.KeywordIndex:
+    """Built once for all parts of a query that search it."""
+    index = S.keyword_index(_chunks(spark, sf_dir))
+    return index._replace(postings=index.postings.persist())
+
+
 def _keyword(spark: SparkSession, sf_dir: str, k: int = 20) -> DataFrame:
-    return S.keyword_search(_questions(spark, sf_dir), S.keyword_index(_chunks(spark, sf_dir)), k)
+    return S.keyword_search(_questions(spark, sf_dir), _index(spark, sf_dir), k)
 
 
 @query(f"SELECT item_id AS query_id, doc_id AS chunk_id, round(score, 6) AS score, rank::INT AS rank FROM ({_BM25.rstrip().rstrip(',')} SELECT * FROM kw)")
@@ -222,7 +228,7 @@ _MET = "met AS (SELECT * FROM (SELECT item_id, doc_id, row_number() OVER (PARTIT
 
 
 def _met(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = S.keyword_index(_chunks(spark, sf_dir))
+    index = _index(spark, sf_dir)
     asked = _questions(spark, sf_dir).select("query_id", F.posexplode(X.tokenize(F.col("question"))).alias("at", "term"))
     counts = asked.join(index.postings, "term").groupBy("query_id", "chunk_id").agg(F.count("*").cast("double").alias("score"))
     w = S.Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
@@ -258,7 +264,7 @@ def rrf_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT item_id AS query_id, doc_id AS chunk_id, round(1.0::DOUBLE / (60 + rank), 9) AS score, 0::INT AS vector_rank, rank::INT AS keyword_rank, rank::INT AS rank FROM ({_BM25.rstrip().rstrip(',')} SELECT * FROM kw) WHERE rank <= 5")
 def single_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = _chunks(spark, sf_dir)
-    found = S.hybrid_search(_questions(spark, sf_dir), chunks, S.keyword_index(chunks), 5, 20, 60, "keyword")
+    found = S.hybrid_search(_questions(spark, sf_dir), chunks, _index(spark, sf_dir), 5, 20, 60, "keyword")
     return _zero_for_none(found.select("query_id", F.col("chunk_id").cast("long").alias("chunk_id"), F.round("score", 9).alias("score"), "vector_rank", "keyword_rank", "rank"))
 
 
@@ -279,7 +285,9 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of retrieval: hashed embeddings, both searches, fusion and re-ranking."""
     chunks = _chunks(spark, sf_dir).withColumn("chunk_id", F.col("chunk_id").cast("string")).withColumn("embedding", hash_embed(F.col("text")))
     asked = _questions(spark, sf_dir).withColumn("q_embedding", hash_embed(F.col("question")))
-    found = S.hybrid_search(asked, chunks, S.keyword_index(chunks), 5, 20, 60, "hybrid", S.overlap_rerank())
+    index = S.keyword_index(chunks)
+    index = index._replace(postings=index.postings.persist())
+    found = S.hybrid_search(asked, chunks, index, 5, 20, 60, "hybrid", S.overlap_rerank())
     return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "vector_rank", "keyword_rank", "rank")
 
 
