@@ -103,29 +103,44 @@ def links(nodes: DataFrame) -> DataFrame:
     return pairs.union(star)
 
 
+def _labelled(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, DataFrame]:
+    """(__key, fp) of every row, and (fp, root, component_id) of every distinct fingerprint."""
+    marked = cut(docs.select(F.col(key).alias("__key"), fingerprints(F.col(text)).alias("fp")))
+    nodes = cut(marked.groupBy("fp").agg(F.min("__key").alias("least")))
+    roots = components(links(nodes.select("fp"))).withColumnRenamed("node", "fp")
+    rooted = nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    return marked, rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per row of ``docs``: key, ``fingerprint`` (16 hex digits) and ``component_id``.
 
     component_id is the smallest key of the component, the row's own included. Null and empty texts have fingerprint
     zero and are linked like any other. Repeated rows are repeated in the result; null keys are never chosen as a
-    component's id unless it has no other. An empty table gives no rows. Extra columns are not read.
+    component's id, which is null where it has no other. An empty table gives no rows. Extra columns are not read.
     """
-    marked = cut(docs.select(F.col(key).alias("__key"), fingerprints(F.col(text)).alias("fp")))
-    nodes = cut(marked.groupBy("fp").agg(F.min("__key").alias("least")))
-    roots = components(links(nodes.select("fp"))).withColumnRenamed("node", "fp")
-    rooted = nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
+    marked, named = _labelled(docs, text, key)
     return marked.join(named, "fp").select(F.col("__key").alias(key), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``docs`` with one document of each component: the one with the smallest key (all its columns).
 
-    Of rows that share that key one is kept. Rows with a null key stay only where their component has no other key.
+    Of rows that share that key the one with the smallest text is kept. Rows with a null key stay only where their
+    component has no other key, one for each. Documents are shuffled once, to meet the kept keys; only where keys
+    repeat or are null does more happen.
     """
-    found = near_duplicates(docs, text, key).where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("__kept")).distinct()
-    kept = docs.join(found, F.col(key).eqNullSafe(F.col("__kept")), "left_semi")
+    marked, named = _labelled(docs, text, key)
+    named = cut(named)
     cols = [f"`{c}`" for c in docs.columns]
-    # Rows of one key are rare; grouping by it is a bounded step unless a key repeats without end.
-    ranked = kept.withColumn("__row", F.row_number().over(Window.partitionBy(key).orderBy(text)))
-    return ranked.where("__row = 1").select(*cols)
+    chosen = named.where("component_id is not null").select(F.col("component_id").alias("__kept")).distinct()
+    kept = docs.join(chosen, F.col(key) == F.col("__kept"), "left_semi")
+    if not marked.where("__key is not null").groupBy("__key").count().where("count > 1").isEmpty():
+        first = F.row_number().over(Window.partitionBy(key).orderBy(text))
+        kept = kept.withColumn("__row", first).where("__row = 1").select(*cols)
+    if not marked.where("__key is null").isEmpty():
+        lone = named.where("component_id is null").select("fp", F.col("root").alias("__root")).withColumnRenamed("fp", "__fp")
+        nameless = docs.where(F.col(key).isNull()).withColumn("__own", fingerprints(F.col(text))).join(lone, F.col("__own") == F.col("__fp"))
+        first = F.row_number().over(Window.partitionBy("__root").orderBy(text))
+        kept = kept.unionByName(nameless.withColumn("__row", first).where("__row = 1").select(*cols))
+    return kept
