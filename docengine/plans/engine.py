@@ -14,7 +14,7 @@ from ..functions import text as X
 from ..operators import access, answer, metrics
 from ..operators import search as S
 from ..operators.chunk import ChunkingOptions, chunk_documents
-from ..operators.embed import embed, hash_embed
+from ..operators.embed import embed
 from ..sources import dataset, files
 from ..store import ChunkStore
 
@@ -139,6 +139,3 @@ class Engine:
         if judge is not None:
             full = answer.judge(full, judge)
         return metrics.with_metrics(full, k)
-
-
-__all__ = ["BadQuestion", "Engine", "UploadTooLarge", "hash_embed"]
