@@ -99,7 +99,7 @@ def test_op1_edges(spark, edge):
     mixed = mixing.mix(extra)
     assert mixed.columns == extra.columns
     per = {r.doc_id: r["count"] for r in mixing.mix(edge).where("doc_id in (5, 6)").groupBy("doc_id").count().collect()}
-    assert all(per.get(r.doc_id, 0) * r["size"] == r.taken for r in got[got.doc_id.isin([5, 6])].itertuples() for r in [got.loc[r.Index]])
+    assert all(per.get(r.doc_id, 0) * r["size"] == r.taken for _, r in got[got.doc_id.isin([5, 6])].iterrows())
 
 
 def test_op1_salted_join_gives_the_same(spark, sf, monkeypatch):
