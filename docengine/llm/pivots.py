@@ -22,6 +22,8 @@ from .components import components
 NEAREST, SHARED = 8, 2
 #: Vectors of a list that are compared with as many others in one group.
 BLOCK = 1024
+#: Links looked at together.
+PAIRS = 1 << 16
 
 
 def n_pivots(classes: int) -> int:
@@ -41,35 +43,45 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return values.reshape(len(flat), -1) if len(flat) else values.reshape(0, 0)
 
 
+def _units(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """The vectors of a column scaled to length 1 in double precision (first by their largest part, so none overflows)."""
+    m = _matrix(column).astype(np.float64)
+    m = m / np.abs(m).max(axis=1, keepdims=True, initial=np.finfo(float).tiny)
+    return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
+
+
 def described(classes: DataFrame, pivots: dict[int, np.ndarray], nearest: int) -> DataFrame:
-    """``classes`` (rep, n, unit) with ``near``: the numbers of the nearest pivots, nearest first, ties to the lower."""
+    """``classes`` (rep, n, v) with ``near``: the numbers of the nearest pivots, nearest first, ties to the lower."""
     shared = classes.sparkSession.sparkContext.broadcast(pivots)
 
     def run(batches):
         for batch in batches:
-            units = batch.column(2)
+            vectors = batch.column(2)
             near: list = [None] * batch.num_rows
-            sizes = np.array([len(u) for u in units], dtype=int)
+            sizes = np.array([len(v) for v in vectors], dtype=int)
             for d in np.unique(sizes).tolist():
                 own = np.flatnonzero(sizes == d)
-                order = np.argsort(-(_matrix(units.take(pa.array(own))) @ shared.value[d].T), axis=1, kind="stable")[:, :nearest]
+                order = np.argsort(-(_units(vectors.take(pa.array(own))) @ shared.value[d].T), axis=1, kind="stable")[:, :nearest]
                 for i, o in zip(own.tolist(), order.astype(np.int32)):
                     near[i] = o
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near, pa.list_(pa.int32()))], names=["rep", "n", "unit", "near"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near, pa.list_(pa.int32()))], names=["rep", "n", "v", "near"])
 
-    return classes.select("rep", "n", "unit").mapInArrow(run, "rep long, n long, unit array<double>, near array<int>")
+    return classes.select("rep", "n", "v").mapInArrow(run, f"rep long, n long, v {dict(classes.dtypes)['v']}, near array<int>")
 
 
 def verified(units_a: np.ndarray, near_a: np.ndarray, units_b: np.ndarray, near_b: np.ndarray, pivot: int, least: float, shared: int) -> np.ndarray:
     """Which pairs of two blocks of a pivot's list are links that no list of a lower pivot has."""
     common = np.zeros((len(near_a), len(near_b)), np.uint8)
-    lower = np.zeros_like(common, bool)
     for i in range(near_a.shape[1]):
         for j in range(near_b.shape[1]):
-            same = near_a[:, i, None] == near_b[None, :, j]
-            common += same
-            lower |= same & (near_a[:, i, None] < pivot)
-    return (common >= shared) & ~lower & (units_a @ units_b.T >= least)
+            common += near_a[:, i, None] == near_b[None, :, j]
+    hits = (common >= shared) & (units_a @ units_b.T >= least)
+    a, b = np.nonzero(hits)
+    for at in range(0, len(a), PAIRS):  # the few that are links: whether they share a lower pivot
+        own_a, own_b = near_a[a[at : at + PAIRS]], near_b[b[at : at + PAIRS]]
+        lower = ((own_a[:, :, None] == own_b[:, None, :]) & (own_a < pivot)[:, :, None]).any(axis=(1, 2))
+        hits[a[at : at + PAIRS][lower], b[at : at + PAIRS][lower]] = False
+    return hits
 
 
 def merged(hits: np.ndarray) -> np.ndarray:
@@ -85,19 +97,19 @@ def merged(hits: np.ndarray) -> np.ndarray:
 
 def links(index: DataFrame, least: float, shared: int) -> DataFrame:
     """(rep, links, root): by block, how many other vectors a class is linked with, and the class it is merged with."""
-    lists = index.select("rep", "n", "unit", "near", F.size("unit").alias("d"), F.explode("near").alias("pivot"))
+    lists = index.select("rep", "n", "v", "near", F.size("v").alias("d"), F.explode("near").alias("pivot"))
     sizes = lists.groupBy("d", "pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))  # a row for each pivot
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     parts = lists.join(F.broadcast(sizes), ["d", "pivot"]).withColumn("own", own).withColumn("other", other)
-    groups = parts.select("d", "pivot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "n", "unit", "near")
+    groups = parts.select("d", "pivot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "n", "v", "near")
 
     def run(key, t):
         _, pivot, i, j = (k.as_py() for k in key)
         rep, n, side = (t.column(c).to_numpy() for c in ("rep", "n", "own"))
         order = np.lexsort((rep, side))
         rep, n, side = rep[order], n[order], side[order]
-        units, near = _matrix(t.column("unit"))[order], _matrix(t.column("near"))[order]
+        units, near = _units(t.column("v"))[order], _matrix(t.column("near"))[order].astype(np.int16)
         if i == j:
             hits = verified(units, near, units, near, pivot, least, shared)
             np.fill_diagonal(hits, False)
@@ -120,22 +132,16 @@ def near_duplicates(table: DataFrame, vector: str = "embedding", key: str = "vec
     different lengths. Repeated keys are separate vectors. Rows with a null key take part; they are never a
     component's id unless it has no other. An empty table gives no rows. Extra columns are not read.
     """
-    rows = cut(table.select(F.col(key).alias("__key"), F.col(vector).cast("array<double>").alias("v")).withColumn("ok", usable(F.col("v"))))
-    scale = F.aggregate("v", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x)))
-    scaled = F.transform("v", lambda x: x / F.col("scale"))
-    length = F.sqrt(F.aggregate("s", F.lit(0.0), lambda a, x: a + x * x))
-    equal = rows.where("ok").groupBy("v").agg(F.count("*").alias("n"), F.min("__key").alias("least"), F.xxhash64(F.col("v")).alias("h"))
+    rows = cut(table.select(F.col(key).alias("__key"), F.col(vector).alias("v")).withColumn("ok", usable(F.col("v").cast("array<double>"))))
     # Classes go by a 64-bit hash of their content, as keys may be null or repeated.
-    named = equal.withColumnRenamed("h", "rep")
-    unit = named.withColumn("scale", scale).withColumn("s", scaled).withColumn("unit", F.transform("s", lambda x: x / length))
-    classes = cut(unit.select("rep", "n", "least", "v", "unit"))
+    classes = cut(rows.where("ok").groupBy("v").agg(F.count("*").alias("n"), F.min("__key").alias("least"), F.xxhash64(F.col("v")).alias("rep")))
     count = classes.count()
-    chosen = classes.select("unit").orderBy(F.xxhash64("unit")).limit(pivots or n_pivots(count)).collect()  # n_pivots rows at most
+    chosen = classes.select("v").orderBy(F.xxhash64("v")).limit(pivots or n_pivots(count)).collect()  # n_pivots rows at most
     by_size: dict[int, list] = {}
     for r in chosen:
-        by_size.setdefault(len(r.unit), []).append(r.unit)
-    dims = [r.d for r in classes.select(F.size("unit").alias("d")).distinct().collect()] if count else []  # vector lengths in use
-    points = {d: np.array(by_size.get(d) or np.eye(d)[: nearest * 4]) for d in dims}
+        by_size.setdefault(len(r.v), []).append(r.v)
+    dims = [r.d for r in classes.select(F.size("v").alias("d")).distinct().collect()] if count else []  # vector lengths in use
+    points = {d: _units(pa.array(by_size.get(d) or np.eye(d)[: nearest * 4].tolist(), pa.list_(pa.float64()))) for d in dims}
     found = cut(links(described(classes, points, nearest), least, shared))
     linked = found.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = components(found.select("rep", "root"), "rep", "root").withColumnRenamed("node", "rep")
