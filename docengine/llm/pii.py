@@ -25,7 +25,9 @@ IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,
 IPV4 = r"(?<![\p{L}\p{N}.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\p{L}\p{N}]|\.[0-9])"
 DATE = r"(?<![\p{L}\p{N}./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![\p{L}\p{N}/-]|\.[0-9])"
 SSN = r"(?<![\p{L}\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}-])"
-CARD = r"(?<![\p{L}\p{N}])[0-9](?:[ -]?[0-9]){12,18}(?![\p{L}\p{N}])"
+#: Digits in one run, in groups of four (and three more), or 4-6-5 and 4-6-4. Other groups aren't a card's, and taking any digits in
+#: reach would join a card with the number beside it.
+CARD = r"(?<![\p{L}\p{N}])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}(?:[ -][0-9]{3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})(?![\p{L}\p{N}])"
 PHONE = (
     r"(?<![\p{L}\p{N}+])(?:\+[0-9]{1,3}[ .-]?\([0-9]{1,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}|\+[0-9]{1,3}(?<sep>[ .-])[0-9]{1,4}(?:\k<sep>[0-9]{2,4}){1,4}|\+[0-9]{7,15}"
     r"|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![\p{L}\p{N}])"
@@ -101,13 +103,30 @@ def _luhn_sum(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.length(digits) - 1), F.lit(0), add)
 
 
+def _first_valid(m: Column, heads: list[Column], valid, replaced) -> Column:
+    """``m`` with the first of its ``heads`` that is valid replaced. A last group that was taken along stays as it is."""
+
+    def of(head: Column) -> Column:
+        return F.when(head.isNull(), m).otherwise(F.concat(replaced(head), F.substring(m, F.length(head) + 1, F.length(m))))
+
+    return _let(F.get(F.filter(F.array(*heads), valid), 0), of)
+
+
 def _card(m: Column, key: str) -> Column:
-    def of(d: Column) -> Column:
-        body = _digits_permuted(F.substring(d, F.lit(1), F.length(d) - 1), "card", key)
-        whole = _let(body, lambda b: F.concat(b, F.pmod(10 - _luhn_sum(F.concat(b, F.lit("0"))) % 10, F.lit(10)).cast("string")))
-        return F.when((_luhn_sum(d) % 10 == 0) & ~d.rlike("^0+$"), _let(whole, lambda w: _refilled(m, w))).otherwise(m)
+    """A card number, or its first four groups where the three digits after them are another number."""
+
+    def valid(head: Column) -> Column:
+        return _let(_only_digits(head), lambda d: (_luhn_sum(d) % 10 == 0) & ~d.rlike("^0+$") & (F.length(d) >= 13))
 
-    return _let(_only_digits(m), of)
+    def replaced(head: Column) -> Column:
+        def of(d: Column) -> Column:
+            body = _digits_permuted(F.substring(d, F.lit(1), F.length(d) - 1), "card", key)
+            whole = _let(body, lambda b: F.concat(b, F.pmod(10 - _luhn_sum(F.concat(b, F.lit("0"))) % 10, F.lit(10)).cast("string")))
+            return _let(whole, lambda w: _refilled(head, w))
+
+        return _let(_only_digits(head), of)
+
+    return _first_valid(m, [m, F.regexp_replace(m, "[ -][0-9]{3}$", "")], valid, replaced)
 
 
 def _ip(m: Column, key: str) -> Column:
@@ -178,20 +197,30 @@ def _mod97(rearranged: Column) -> Column:
 
 
 def _iban(m: Column, key: str) -> Column:
-    def of(s: Column) -> Column:
-        country, body = F.substring(s, 1, 2), F.substring(s, F.lit(5), F.length(s))
-        d = _only_digits(body)
-        new_body = F.when(F.length(d).between(2, 26), _let(_digits_permuted(d, "iban", key), lambda p: _refilled(body, p))).otherwise(body)
+    """An account number; capital letters or digits in one or two groups behind it may be other words."""
+
+    def packed(head: Column) -> Column:
+        return F.regexp_replace(head, " ", "")
+
+    def valid(head: Column) -> Column:
+        return _let(packed(head), lambda s: F.length(s).between(15, 34) & (_mod97(F.concat(F.substring(s, F.lit(5), F.length(s)), F.substring(s, 1, 4))) == 1))
+
+    def replaced(head: Column) -> Column:
+        def of(s: Column) -> Column:
+            country, body = F.substring(s, 1, 2), F.substring(s, F.lit(5), F.length(s))
+            d = _only_digits(body)
+            new_body = F.when(F.length(d).between(2, 26), _let(_digits_permuted(d, "iban", key), lambda p: _refilled(body, p))).otherwise(body)
+
+            def whole(b: Column) -> Column:
+                check = F.lpad((98 - _mod97(F.concat(b, country, F.lit("00")))).cast("string"), 2, "0")
+                plain = F.concat(country, check, b)
+                return F.when(head.contains(" "), F.rtrim(F.regexp_replace(plain, "(.{4})", "$1 "))).otherwise(plain)
 
-        def whole(b: Column) -> Column:
-            check = F.lpad((98 - _mod97(F.concat(b, country, F.lit("00")))).cast("string"), 2, "0")
-            plain = F.concat(country, check, b)
-            return F.when(m.contains(" "), F.rtrim(F.regexp_replace(plain, "(.{4})", "$1 "))).otherwise(plain)
+            return _let(new_body, whole)
 
-        good = F.length(s).between(15, 34) & (_mod97(F.concat(body, F.substring(s, 1, 4))) == 1)
-        return F.when(good, _let(new_body, whole)).otherwise(m)
+        return _let(packed(head), of)
 
-    return _let(F.regexp_replace(m, " ", ""), of)
+    return _first_valid(m, [m, *[F.regexp_replace(m, "(?: [A-Z0-9]{1,4}){%d}$" % n, "") for n in (1, 2)]], valid, replaced)
 
 
 def _email(m: Column, key: str) -> Column:

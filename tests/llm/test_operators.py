@@ -145,6 +145,17 @@ def test_op2_formats_validity_and_links(spark):
     assert replaced(spark, texts[:1], key="other") != got[:1]
 
 
+def test_op2_numbers_beside_other_numbers(spark):
+    card, iban = "4845168114407329", "ES9121000418450200051332"
+    grouped = " ".join(card[i : i + 4] for i in range(0, 16, 4))
+    spaced = " ".join(iban[i : i + 4] for i in range(0, 24, 4))
+    texts = [f"{card} 12 left", f"12 {card}", f"7 {grouped} 3", f"{grouped} 345 more", f"{grouped} 2021", f"{card}-12", f"{iban} NOTE", f"{spaced} SEE NOTE", f"{spaced} 20"]
+    got = replaced(spark, texts)
+    new = replaced(spark, [card, grouped, iban, spaced])
+    assert not {card, grouped, iban, spaced} & set(new)
+    assert got == [f"{new[0]} 12 left", f"12 {new[0]}", f"7 {new[1]} 3", f"{new[1]} 345 more", f"{new[1]} 2021", f"{new[0]}-12", f"{new[2]} NOTE", f"{new[3]} SEE NOTE", f"{new[3]} 20"]
+
+
 def test_op2_is_a_permutation(spark):
     days = spark.range(73049).select(F.col("id").alias("doc_id"), F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")).cast("string").alias("text"))
     got = pii.pseudonymised(days).agg(F.countDistinct("text").alias("n"), F.min("text").alias("lo"), F.max("text").alias("hi")).first()
