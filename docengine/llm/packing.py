@@ -245,10 +245,13 @@ def slots(packed: list[tuple[tuple[int, ...], int]]) -> dict[int, np.ndarray]:
     return {n: np.array(x, np.int64) for n, x in rows.items()}
 
 
-def ranked(found: DataFrame, key: str) -> DataFrame:
-    """``found`` with ``__rank``, from 0 among the pieces of the same length."""
-    salts = max(8, -(-found.count() // PIECES_PER_SALT))
-    salted = found.withColumn("__salt", F.pmod(F.xxhash64(key, "piece", "ids_crc32"), F.lit(salts)))
+def ranked(found: DataFrame, key: str, histogram: dict[int, int]) -> DataFrame:
+    """``found`` with ``__rank``, from 0 among the pieces of the same length.
+
+    A length has a salt for every PIECES_PER_SALT of its pieces, so the table of salts is as much smaller than the data.
+    """
+    shares = F.create_map(*[F.lit(x) for n, c in sorted(histogram.items()) for x in (n, -(-c // PIECES_PER_SALT))]) if histogram else F.create_map(F.lit(0), F.lit(1))
+    salted = found.withColumn("__salt", F.pmod(F.xxhash64(key, "piece", "ids_crc32"), shares[F.col("length").cast("int")]))
     before = Window.partitionBy("length").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = salted.groupBy("length", "__salt").count().withColumn("__before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
     order = Window.partitionBy("length", "__salt").orderBy(key, "piece", "ids_crc32")
@@ -265,7 +268,7 @@ def pack(docs: DataFrame, definition: str, text: str = "text", key: str = "doc_i
     found = cut(pieces(docs, definition, text, key, ids, limit))
     histogram = {r.length: r["count"] for r in found.groupBy("length").count().collect()}  # limit rows at most
     where = docs.sparkSession.sparkContext.broadcast(slots(plan(histogram, limit)))
-    placed = ranked(found, key)
+    placed = ranked(found, key, histogram)
     columns = [key, "piece", "start", "length", "ids_crc32", *["ids"] * ids]
     schema = T.StructType([found.schema[c] for c in columns] + [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
