@@ -133,8 +133,8 @@ def near_duplicates(table: DataFrame, vector: str = "embedding", key: str = "vec
     component's id unless it has no other. An empty table gives no rows. Extra columns are not read.
     """
     rows = cut(table.select(F.col(key).alias("__key"), F.col(vector).alias("v")).withColumn("ok", usable(F.col("v").cast("array<double>"))))
-    # Classes go by a 64-bit hash of their content, as keys may be null or repeated.
-    classes = cut(rows.where("ok").groupBy("v").agg(F.count("*").alias("n"), F.min("__key").alias("least"), F.xxhash64(F.col("v")).alias("rep")))
+    # Classes go by their place in the table as it was written, as keys may be null or repeated and hashes may collide.
+    classes = cut(rows.where("ok").groupBy("v").agg(F.count("*").alias("n"), F.min("__key").alias("least"))).withColumn("rep", F.monotonically_increasing_id())
     count = classes.count()
     chosen = classes.select("v").orderBy(F.xxhash64("v")).limit(pivots or n_pivots(count)).collect()  # n_pivots rows at most
     by_size: dict[int, list] = {}
