@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
+from functools import lru_cache
 from hashlib import blake2b
 from itertools import accumulate
 
@@ -113,14 +115,35 @@ def root_heading(found: list[tuple[str, str | None]]) -> str | None:
     return next((h.partition(" > ")[0] for _, h in found if h), None)
 
 
+@lru_cache(maxsize=1 << 17)
+def _place(feature: str, dim: int) -> tuple[int, int]:
+    """The bucket of a feature and its sign."""
+    value = int.from_bytes(blake2b(feature.encode(), digest_size=8).digest(), "little")
+    return value % dim, 1 if value >> 63 else -1
+
+
+@lru_cache(maxsize=1 << 16)
+def _word_places(token: str, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets and signed weights of a word and its letter trigrams."""
+    edged = f"#{token}#"
+    found = [(*_place(f"w:{token}", dim), 1.0), *((*_place(f"c:{edged[i : i + 3]}", dim), 0.25) for i in range(len(edged) - 2))]
+    return np.array([at for at, _, _ in found]), np.array([sign * weight for _, sign, weight in found])
+
+
 def hash_embedding(tokens: list[str], dim: int) -> np.ndarray:
-    """Signed feature hashing of words, their letter trigrams and their pairs, scaled to length 1."""
-    weighted = [(f"w:{t}", 1.0) for t in tokens]
-    weighted += [(f"c:{edged[i : i + 3]}", 0.25) for edged in (f"#{t}#" for t in tokens) for i in range(len(edged) - 2)]
-    weighted += [(f"b:{a}_{b}", 0.5) for a, b in zip(tokens, tokens[1:])]
-    out = np.zeros(dim)
-    for feature, weight in weighted:
-        value = int.from_bytes(blake2b(feature.encode(), digest_size=8).digest(), "little")
-        out[value % dim] += weight if value >> 63 else -weight
+    """Signed feature hashing of words, their letter trigrams and their pairs, scaled to length 1.
+
+    Words recur, so each is hashed once in a worker while it is remembered. Weights are multiples of a quarter, so sums
+    are exact in any order.
+    """
+    if not tokens:
+        return np.zeros(dim, np.float32)
+    words, pairs = Counter(tokens), Counter(zip(tokens, tokens[1:]))
+    places = [_word_places(t, dim) for t in words]
+    times = np.repeat(np.fromiter(words.values(), float, len(words)), [len(at) for at, _ in places])
+    paired = np.array([_place(f"b:{a}_{b}", dim) for a, b in pairs], np.int64).reshape(-1, 2)
+    at = np.concatenate([*(x for x, _ in places), paired[:, 0]])
+    weight = np.concatenate([np.concatenate([x for _, x in places]) * times, 0.5 * paired[:, 1] * np.fromiter(pairs.values(), float, len(pairs))])
+    out = np.bincount(at, weight, dim)
     length = float(np.sqrt(out @ out))
     return (out / length if length else out).astype(np.float32)

@@ -86,10 +86,17 @@ def keyword_search(queries: DataFrame, index: KeywordIndex, k: int, k1: float =
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "chunk_id", "score", "rank")
 
 
+def dot(a: Column, b: Column) -> Column:
+    """Dot product in double precision, inside the JVM."""
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, p: s + p)
+
+
+def norm(a: Column) -> Column:
+    """Length of a vector; a zero vector counts as having length one."""
+    return X.let(F.sqrt(dot(a, a)), lambda n: F.when(n == 0, F.lit(1.0)).otherwise(n))
+
+
 def cosine(a: Column, b: Column) -> Column:
-    """Cosine in double precision, inside the JVM; a zero vector counts as having length one."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, p: s + p)
-    norm = lambda x: X.let(F.sqrt(dot(x, x)), lambda n: F.when(n == 0, F.lit(1.0)).otherwise(n))
     return dot(a, b) / (norm(a) * norm(b))
 
 
@@ -107,8 +114,11 @@ def vector_search(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     q = queries.select("query_id", "collection", "q_embedding")
     if q.limit(QUERY_BLOCK + 1).count() > QUERY_BLOCK:
         return vector_search_blocks(queries, chunks, k)
-    met = chunks.select("collection", "chunk_id", "embedding").join(F.broadcast(q), "collection")
-    scored = met.select("query_id", "chunk_id", cosine(check_dimension(F.col("embedding"), F.col("q_embedding")), F.col("q_embedding")).alias("score"))
+    # Lengths are computed before the vectors meet, once for each.
+    asked = q.withColumn("_q_norm", norm(F.col("q_embedding")))
+    met = chunks.select("collection", "chunk_id", "embedding", norm(F.col("embedding")).alias("_norm")).join(F.broadcast(asked), "collection")
+    score = dot(check_dimension(F.col("embedding"), F.col("q_embedding")), F.col("q_embedding")) / (F.col("_norm") * F.col("_q_norm"))
+    scored = met.select("query_id", "chunk_id", score.alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 

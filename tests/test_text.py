@@ -148,3 +148,18 @@ def test_e2_hash_embedding():
     a, b = kernels.hash_embedding(["dog", "bark"], 384), kernels.hash_embedding(["dog", "bark"], 384)
     assert (a == b).all() and float(a @ a) == pytest.approx(1, abs=1e-6) and not kernels.hash_embedding([], 8).any()
     assert float(a @ kernels.hash_embedding(["dog", "run"], 384)) > float(a @ kernels.hash_embedding(["cat", "run"], 384))
+
+
+def test_e2_hash_embedding_adds_its_features():
+    import numpy as np
+    from hashlib import blake2b
+
+    tokens = ["dog", "bark", "dog", "bark", "a", "dog", "été"]
+    features = [(f"w:{t}", 1.0) for t in tokens] + [(f"b:{a}_{b}", 0.5) for a, b in zip(tokens, tokens[1:])]
+    features += [(f"c:{e[i : i + 3]}", 0.25) for e in (f"#{t}#" for t in tokens) for i in range(len(e) - 2)]
+    want = np.zeros(48)
+    for feature, weight in features:
+        value = int.from_bytes(blake2b(feature.encode(), digest_size=8).digest(), "little")
+        want[value % 48] += weight if value >> 63 else -weight
+    assert (kernels.hash_embedding(tokens, 48) == (want / np.sqrt(want @ want)).astype(np.float32)).all()
+    assert kernels.hash_embedding(["x"], 8).shape == (8,)
