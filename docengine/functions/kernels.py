@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterable
 from functools import lru_cache
 from hashlib import blake2b
 from itertools import accumulate
@@ -115,19 +116,15 @@ def root_heading(found: list[tuple[str, str | None]]) -> str | None:
     return next((h.partition(" > ")[0] for _, h in found if h), None)
 
 
-@lru_cache(maxsize=1 << 17)
-def _place(feature: str, dim: int) -> tuple[int, int]:
-    """The bucket of a feature and its sign."""
-    value = int.from_bytes(blake2b(feature.encode(), digest_size=8).digest(), "little")
-    return value % dim, 1 if value >> 63 else -1
+def _hashes(features: Iterable[str]) -> np.ndarray:
+    return np.frombuffer(b"".join([blake2b(f.encode(), digest_size=8).digest() for f in features]), "<u8")
 
 
 @lru_cache(maxsize=1 << 16)
-def _word_places(token: str, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets and signed weights of a word and its letter trigrams."""
+def _word_hashes(token: str) -> np.ndarray:
+    """Of a word and its letter trigrams."""
     edged = f"#{token}#"
-    found = [(*_place(f"w:{token}", dim), 1.0), *((*_place(f"c:{edged[i : i + 3]}", dim), 0.25) for i in range(len(edged) - 2))]
-    return np.array([at for at, _, _ in found]), np.array([sign * weight for _, sign, weight in found])
+    return _hashes([f"w:{token}", *(f"c:{edged[i : i + 3]}" for i in range(len(edged) - 2))])
 
 
 def hash_embedding(tokens: list[str], dim: int) -> np.ndarray:
@@ -139,11 +136,13 @@ def hash_embedding(tokens: list[str], dim: int) -> np.ndarray:
     if not tokens:
         return np.zeros(dim, np.float32)
     words, pairs = Counter(tokens), Counter(zip(tokens, tokens[1:]))
-    places = [_word_places(t, dim) for t in words]
-    times = np.repeat(np.fromiter(words.values(), float, len(words)), [len(at) for at, _ in places])
-    paired = np.array([_place(f"b:{a}_{b}", dim) for a, b in pairs], np.int64).reshape(-1, 2)
-    at = np.concatenate([*(x for x, _ in places), paired[:, 0]])
-    weight = np.concatenate([np.concatenate([x for _, x in places]) * times, 0.5 * paired[:, 1] * np.fromiter(pairs.values(), float, len(pairs))])
-    out = np.bincount(at, weight, dim)
+    found = [_word_hashes(t) for t in words]
+    times = np.fromiter(words.values(), float, len(words))
+    sizes = np.fromiter(map(len, found), np.int64, len(found))
+    weight = np.repeat(0.25 * times, sizes)
+    weight[np.cumsum(sizes) - sizes] = times  # the word itself stands before its trigrams
+    value = np.concatenate([*found, _hashes([f"b:{a}_{b}" for a, b in pairs])])
+    weight = np.concatenate([weight, 0.5 * np.fromiter(pairs.values(), float, len(pairs))])
+    out = np.bincount((value % np.uint64(dim)).astype(np.int64), np.where(value >> np.uint64(63), weight, -weight), dim)
     length = float(np.sqrt(out @ out))
     return (out / length if length else out).astype(np.float32)

@@ -15,7 +15,7 @@ from .operators import access, answer, metrics
 from .operators import search as S
 from .operators.chunk import ChunkingOptions, chunk_documents, merge_sections
 from .operators.embed import hash_embed
-from .sources import files
+from .sources import files, tables
 from .store import collection_stats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,8 +32,7 @@ def query(sql: str | None = None):
     return add
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+table = tables.read
 
 
 # ------------------------------------------------------------------------------------------------- pieces of the oracles
