@@ -248,9 +248,9 @@ def slots(packed: list[tuple[tuple[int, ...], int]]) -> dict[int, np.ndarray]:
 def ranked(found: DataFrame, key: str, histogram: dict[int, int]) -> DataFrame:
     """``found`` with ``__rank``, from 0 among the pieces of the same length.
 
-    A length has a salt for every PIECES_PER_SALT of its pieces, so the table of salts is as much smaller than the data.
+    A length has a salt for every PIECES_PER_SALT of its pieces, and 8 at least, so the table of salts stays small.
     """
-    shares = F.create_map(*[F.lit(x) for n, c in sorted(histogram.items()) for x in (n, -(-c // PIECES_PER_SALT))]) if histogram else F.create_map(F.lit(0), F.lit(1))
+    shares = F.create_map(*[F.lit(x) for n, c in sorted(histogram.items()) for x in (n, max(8, -(-c // PIECES_PER_SALT)))]) if histogram else F.create_map(F.lit(0), F.lit(1))
     salted = found.withColumn("__salt", F.pmod(F.xxhash64(key, "piece", "ids_crc32"), shares[F.col("length").cast("int")]))
     before = Window.partitionBy("length").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = salted.groupBy("length", "__salt").count().withColumn("__before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
