@@ -1,8 +1,9 @@
 """Embedding near-duplicates by a pivot-permutation index.
 
-A bounded sample of the vectors serves as reference points (pivots). Each vector is described by its nearest pivots in
-order; it stands in the inverted list of each of them. Two vectors are candidates if they share enough pivots, and
-the cosine of candidates is verified in double precision. Equal vectors are one class from the start, so copies cost
+A bounded sample of the vectors, no two of them close to each other, serves as reference points (pivots). Each vector
+is described by its nearest pivots in order; it stands in the inverted list of each of them. Two vectors are candidates
+if they share enough pivots, and the cosine of candidates is verified in double precision. A dense group holds one pivot
+or few, however large it is, so which pivots are nearest doesn't hang on the noise of its members. Equal vectors are one class from the start, so copies cost
 one row, and links are counted and merged inside blocks of a list instead of being written out as pairs: what leaves a
 block is at most two rows for each of its vectors. A list with very many vectors is cut into blocks, each pair of
 blocks a group of its own.
@@ -20,9 +21,11 @@ from .components import components
 
 #: Nearest pivots kept for a vector, and how many two vectors must share.
 NEAREST, SHARED = 8, 2
+#: Pivots have a lower cosine than this with each other; they are taken from a sample of so many times their number.
+APART, SAMPLE = 0.7, 2
 #: Vectors of a list that are compared with as many others in one group.
 BLOCK = 1024
-#: Links looked at together.
+#: Links of two blocks that are looked at one by one.
 PAIRS = 1 << 16
 
 
@@ -31,6 +34,17 @@ def n_pivots(classes: int) -> int:
     return int(min(2048, max(32, classes**0.5)))
 
 
+def spread(units: np.ndarray, most: int) -> np.ndarray:
+    """Up to ``most`` of the vectors (of length 1), first come first, none of them within APART of another."""
+    taken = np.zeros((0, units.shape[1]))
+    for u in units:
+        if len(taken) == most:
+            break
+        if not (taken @ u >= APART).any():
+            taken = np.concatenate([taken, u[None]])
+    return taken
+
+
 def usable(v: Column) -> Column:
     """Whether a vector can have a cosine: no null or non-finite component, and not all zero."""
     fine = F.forall(v, lambda x: F.coalesce((F.abs(x) < F.lit(float("inf"))) & ~F.isnan(x), F.lit(False)))
@@ -71,16 +85,17 @@ def described(classes: DataFrame, pivots: dict[int, np.ndarray], nearest: int) -
 
 def verified(units_a: np.ndarray, near_a: np.ndarray, units_b: np.ndarray, near_b: np.ndarray, pivot: int, least: float, shared: int) -> np.ndarray:
     """Which pairs of two blocks of a pivot's list are links that no list of a lower pivot has."""
-    common = np.zeros((len(near_a), len(near_b)), np.uint8)
-    for i in range(near_a.shape[1]):
-        for j in range(near_b.shape[1]):
-            common += near_a[:, i, None] == near_b[None, :, j]
-    hits = (common >= shared) & (units_a @ units_b.T >= least)
+    need = min(shared, near_a.shape[1])  # with fewer pivots than are to be shared, all of them are
+    hits = units_a @ units_b.T >= least
     a, b = np.nonzero(hits)
-    for at in range(0, len(a), PAIRS):  # the few that are links: whether they share a lower pivot
-        own_a, own_b = near_a[a[at : at + PAIRS]], near_b[b[at : at + PAIRS]]
-        lower = ((own_a[:, :, None] == own_b[:, None, :]) & (own_a < pivot)[:, :, None]).any(axis=(1, 2))
-        hits[a[at : at + PAIRS][lower], b[at : at + PAIRS][lower]] = False
+    if len(a) > PAIRS:  # a dense group: by products of matrices with a column for each pivot
+        names = np.unique(near_a)
+        held_a, held_b = ((near[:, :, None] == names).any(axis=1).astype(np.float32) for near in (near_a, near_b))
+        low = names < pivot
+        return hits & (held_a[:, low] @ held_b[:, low].T == 0) & (held_a[:, ~low] @ held_b[:, ~low].T >= need)
+    same = near_a[a][:, :, None] == near_b[b][:, None, :]
+    lower = (same & (near_a[a] < pivot)[:, :, None]).any(axis=(1, 2))
+    hits[a, b] = ~lower & (same.sum(axis=(1, 2)) >= need)
     return hits
 
 
@@ -136,12 +151,13 @@ def near_duplicates(table: DataFrame, vector: str = "embedding", key: str = "vec
     # Classes go by their place in the table as it was written, as keys may be null or repeated and hashes may collide.
     classes = cut(rows.where("ok").groupBy("v").agg(F.count("*").alias("n"), F.min("__key").alias("least"))).withColumn("rep", F.monotonically_increasing_id())
     count = classes.count()
-    chosen = classes.select("v").orderBy(F.xxhash64("v")).limit(pivots or n_pivots(count)).collect()  # n_pivots rows at most
+    most = pivots or n_pivots(count)
+    chosen = classes.select("v").orderBy(F.xxhash64("v")).limit(SAMPLE * most).collect()  # SAMPLE times n_pivots rows at most
     by_size: dict[int, list] = {}
     for r in chosen:
         by_size.setdefault(len(r.v), []).append(r.v)
     dims = [r.d for r in classes.select(F.size("v").alias("d")).distinct().collect()] if count else []  # vector lengths in use
-    points = {d: _units(pa.array(by_size.get(d) or np.eye(d)[: nearest * 4].tolist(), pa.list_(pa.float64()))) for d in dims}
+    points = {d: spread(_units(pa.array(by_size.get(d) or np.eye(d)[: nearest * 4].tolist(), pa.list_(pa.float64()))), most) for d in dims}
     found = cut(links(described(classes, points, nearest), least, shared))
     linked = found.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = components(found.select("rep", "root"), "rep", "root").withColumnRenamed("node", "rep")

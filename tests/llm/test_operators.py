@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -503,6 +504,21 @@ def test_op9_groups_copies_and_edges(spark, monkeypatch, block):
     assert pivots.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_op9_recall_inside_a_large_group(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(30_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    centre = x[0].copy()
+    noise = x[:10_000] - (x[:10_000] @ centre)[:, None] * centre
+    noise[0] = rng.normal(size=64)
+    x[:10_000] = np.sqrt(0.95) * centre + np.sqrt(0.05) * noise / np.linalg.norm(noise, axis=1, keepdims=True)
+    got = pivots.near_duplicates(spark.createDataFrame(pd.DataFrame({"vec_id": range(30_000), "embedding": x.tolist()}))).orderBy("vec_id").toPandas()
+    u = x[:10_000] / np.linalg.norm(x[:10_000], axis=1, keepdims=True)
+    degree = np.array([(u[i : i + 1000] @ u.T >= 0.9).sum(axis=1) - 1 for i in range(0, 10_000, 1000)]).ravel()
+    assert (got.n_links[:10_000] <= degree).all() and got.n_links[:10_000].sum() >= 0.995 * degree.sum()
+    assert (got.component_id[:10_000] == 0).all()
+
+
 # ----------------------------------------------------------------------------------------------------------------- tokens
 def test_op10_counts_are_the_tokenizers(tokenizer):
     count = tokens.Counter(definition())
