@@ -175,26 +175,45 @@ def _units(m: np.ndarray) -> np.ndarray:
     return m / np.where(length == 0, 1.0, length)
 
 
-def vector_search_lsh(queries: DataFrame, chunks: DataFrame, k: int, dim: int, planes: int = 8, tables: int = 12, seed: int = 1) -> DataFrame:
-    """Approximate vector search: only chunks that share a cell of random hyperplanes with the question are scored.
+def vector_search_lsh(queries: DataFrame, chunks: DataFrame, k: int, dim: int, planes: int = 8, tables: int = 12, seed: int = 1, probes: int = 24) -> DataFrame:
+    """Approximate vector search: only chunks in cells of random hyperplanes near the question are scored.
 
-    Each table cuts space by ``planes`` hyperplanes; more tables find more, more planes compare less.
+    Each table cuts space by ``planes`` hyperplanes. A chunk lies in one cell of each table; a question looks into the
+    ``probes`` cells of each table that are nearest to it, by the squared distances from the planes between. More tables
+    and probes find more, more planes compare less. A question for which no table's cells hold k chunks looks into all
+    cells of the first table, and so meets every chunk.
     """
     normals = np.random.default_rng(seed).normal(size=(tables, planes, dim))
+    bits = np.arange(1 << planes) >> np.arange(planes)[:, None] & 1
+    first = np.arange(tables)[:, None] << planes
+
+    def sides(vectors: pd.Series) -> np.ndarray:
+        m = np.stack(vectors.to_numpy()).astype(float) if len(vectors) else np.zeros((0, dim))
+        return np.einsum("nd,tpd->ntp", m, normals / np.linalg.norm(normals, axis=2, keepdims=True))
 
     @F.pandas_udf("array<bigint>")
     def cells(vectors: pd.Series) -> pd.Series:
-        m = np.stack(vectors.to_numpy()).astype(float) if len(vectors) else np.zeros((0, dim))
-        bits = np.einsum("nd,tpd->ntp", m, normals) > 0
-        return pd.Series(list((bits << np.arange(planes)).sum(2) + (np.arange(tables) << planes)))
-
-    q = queries.select("query_id", "collection", "q_embedding", F.explode(cells("q_embedding")).alias("cell"))
-    c = chunks.select("collection", "chunk_id", "embedding", F.explode(cells("embedding")).alias("cell"))
-    pairs = q.select("query_id", "collection", "cell").join(c.select("collection", "chunk_id", "cell"), ["collection", "cell"]).select("query_id", "collection", "chunk_id").distinct()
-    met = pairs.join(chunks.select("collection", "chunk_id", "embedding"), ["collection", "chunk_id"]).join(queries.select("query_id", "q_embedding"), "query_id")
-    scored = met.select("query_id", "chunk_id", cosine(F.col("embedding"), F.col("q_embedding")).alias("score"))
+        return pd.Series(list(((sides(vectors) > 0) << np.arange(planes)).sum(2) + first[:, 0]))
+
+    @F.pandas_udf("array<bigint>")
+    def near(vectors: pd.Series) -> pd.Series:
+        away = (np.where(s > 0, -s * s, s * s) @ bits for s in sides(vectors))  # less a constant for each table
+        return pd.Series([(np.argsort(a, axis=1, kind="stable")[:, :probes] + first).ravel() for a in away], dtype=object)
+
+    q = queries.select("query_id", "collection", F.explode(near("q_embedding")).alias("cell"))
+    c = chunks.select("collection", "chunk_id", "embedding", norm(F.col("embedding")).alias("_norm"), F.explode(cells("embedding")).alias("cell"))
+    sizes = c.groupBy("collection", "cell").agg(F.count("*").alias("n"))  # a row for each cell
+    held = q.join(sizes, ["collection", "cell"]).groupBy("query_id", F.shiftright("cell", planes).alias("table")).agg(F.sum("n").alias("n"))
+    enough = held.where(F.col("n") >= k).select("query_id").distinct()
+    every = queries.join(enough, "query_id", "left_anti").select("query_id", "collection", F.explode(F.sequence(F.lit(0).cast("long"), F.lit((1 << planes) - 1).cast("long"))).alias("cell"))
+    asked = q.join(enough, "query_id", "left_semi").unionByName(every).groupBy("collection", "cell").agg(F.collect_list("query_id").alias("ids"))
+    asked, vectors = beside(queries, asked, queries.select("query_id", "q_embedding", norm(F.col("q_embedding")).alias("_q_norm")))
+    met = c.join(asked, ["collection", "cell"]).select("chunk_id", "embedding", "_norm", F.explode("ids").alias("query_id")).join(vectors, "query_id")
+    score = dot(F.col("embedding"), F.col("q_embedding")) / (F.col("_norm") * F.col("_q_norm"))
+    scored = met.select("query_id", "chunk_id", score.alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    # Chunks met in several tables have equal rows, of one dense rank.
+    return scored.withColumn("rank", F.dense_rank().over(best)).where(F.col("rank") <= k).distinct()
 
 
 def fuse(lists: list[DataFrame], k: int = 60, weights: list[float] | None = None) -> DataFrame:

@@ -178,6 +178,8 @@ def test_r1_vectors(spark):
         with pytest.raises(Exception, match="dimension mismatch"):
             search(ask(spark, "", vector=[1.0]), chunks, 2).collect()
     assert S.vector_search_lsh(q, chunks, 1, 3).first().chunk_id == "c0"
+    few = S.vector_search_lsh(q, chunks, 5, 3, tables=1, probes=1).orderBy("rank").collect()  # its own cell holds fewer than 5
+    assert [r.chunk_id for r in few] == ["c0", "c4", "c1", "c3", "c2"] and [r["rank"] for r in few] == [1, 2, 3, 4, 5]
 
 
 def ranks(spark, *chunks):
