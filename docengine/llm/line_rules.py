@@ -23,7 +23,10 @@ BOILERPLATE = re.compile(
     r"\b(?:cookie policy|privacy policy|terms of (?:use|service)|all rights reserved|accept (?:all )?cookies|enable javascript|javascript is (?:disabled|required)"
     r"|click here to|sign up for our newsletter|subscribe to our newsletter|skip to (?:main )?content|lorem ipsum|powered by wordpress|add to cart|forgot your password)\b"
 )
-SENTENCE = re.compile(r"[.!?…。！？]")
+#: Ends of sentences: Latin, CJK, Arabic and Urdu, Devanagari, Armenian, Ethiopic, Khmer, Burmese, Tibetan, Mongolian.
+SENTENCE = re.compile(r"[.!?…。！？｡．؟۔।॥։።፧។៕။།༎᠃᠉]")
+#: Thai and Lao, which end sentences with no mark.
+UNMARKED = re.compile(r"[\u0e00-\u0eff]")
 
 
 @dataclass(frozen=True)
@@ -78,12 +81,14 @@ def line_passes(line: str, rules: LineRules) -> bool:
         return False
     if sum(map(line.count, SYMBOLS)) > rules.symbols_per_word * n:
         return False
-    letters = sum(map(str.isalpha, line)) if n > 1 and line.upper() == line else 0
-    if letters >= rules.least_letters:  # no small letter at all
+    capitals = sum(x.isupper() and x.isalpha() for x in line) if n > 1 and line.upper() == line else 0
+    if capitals >= rules.least_letters:  # no small letter at all; letters without case don't count
         return False
     if BOILERPLATE.search(line.lower()):
         return False
-    return n <= rules.short or SENTENCE.search(line) is not None
+    if n <= rules.short or SENTENCE.search(line):
+        return True
+    return 2 * len(UNMARKED.findall(line)) > sum(map(len, line.split()))
 
 
 def judge(text: str | None, rules: LineRules = LineRules()) -> tuple:

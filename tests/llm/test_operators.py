@@ -296,6 +296,21 @@ def test_op5_rules(spark, edge):
     assert line_rules.judged(empty(spark)).count() == 0
 
 
+def test_op5_scripts_without_case():
+    passes = lambda x: line_rules.line_passes(x, line_rules.LineRules())
+    lines = {
+        "Arabic": "هذه جملة عربية واضحة تماما. ذهب الولد إلى المدرسة.", "Hebrew": "זה משפט ברור בעברית עם כמה מילים.", "Hindi": "यह हिन्दी में एक साफ वाक्य है और इसे सब लोग पढ़ सकते हैं।",
+        "Korean": "이것은 한국어로 쓴 깨끗한 문장이고 여러 낱말이 있습니다.", "Thai": "นี่คือประโยคภาษาไทย ที่อ่านง่าย และสะอาด", "Chinese": "这是一个干净的中文句子 里面有很多汉字 没有任何问题。",
+    }
+    for name, line in lines.items():
+        assert passes(line), name
+    for mark in "।۔؟":
+        assert passes("शब्द " * 13 + mark), mark
+    assert passes("ประโยค " * 13) and not passes("शब्द " * 13)
+    assert not passes("SHOUTING ALL THE WAY TO THE END") and not passes("КРИЧИМ ДО САМОГО КОНЦА СТРОКИ")
+    assert line_rules.judge("\n".join(lines.values()))[6]
+
+
 # ---------------------------------------------------------------------------------------------------------------- simhash
 def plain_fingerprint(t: str | None) -> int:
     w = ["".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x) for x in WORD.findall(t or "")]
