@@ -534,6 +534,12 @@ def test_op9_recall_inside_a_large_group(spark):
     assert (got.component_id[:10_000] == 0).all()
 
 
+def test_op9_a_length_with_one_pivot(spark):
+    rows = [(10 * d + i, [1.0 + 0.01 * i] + [1.0] * (d - 1)) for d in (3, 4) for i in range(5)]
+    got = pivots.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), pivots=1).toPandas()
+    assert (got.n_links == 4).all() and set(got.component_id) == {30, 40}
+
+
 # ----------------------------------------------------------------------------------------------------------------- tokens
 def test_op10_counts_are_the_tokenizers(tokenizer):
     count = tokens.Counter(definition())
