@@ -22,7 +22,7 @@ def _signature(edges: DataFrame) -> tuple:
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+    return both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -35,12 +35,13 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``(node, root)`` for every node of ``edges``; root is the smallest node of its component.
 
-    Edges with a null end and loops are left out; repeated edges count once. No edges give an empty table.
+    Edges with a null end and loops are left out; repeated edges count once. No edges give an empty table. Edges only ever
+    become fewer, so each round is written to as many files as their number needs.
     """
     state = cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = _signature(state)
     while before[0]:
-        state = cut(_small_star(_large_star(state)))
+        state = cut(_small_star(_large_star(state)), 2 * before[0])
         after = _signature(state)
         if after == before:
             break

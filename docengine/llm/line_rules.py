@@ -10,13 +10,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import fresh, named
+
 SYMBOLS = "#*$%&|<>"
 #: Phrases of site furniture, lower case.
 BOILERPLATE = re.compile(
@@ -38,7 +39,6 @@ class LineRules:
     window: int = 5
     symbols_per_word: float = 0.3
     bars: int = 3
-    capitals: float = 0.7
     least_letters: int = 20
     short: int = 12
     lost: float = 0.5
@@ -122,19 +122,20 @@ KINDS = (*[T.LongType()] * 5, T.BooleanType(), T.BooleanType(), T.LongType(), T.
 def judged(docs: DataFrame, text: str = "text", rules: LineRules = LineRules(), columns: list[str] | None = None, cleaned: bool = True) -> DataFrame:
     """The ``columns`` of ``docs`` (all if None) with the verdict of each row as ``__<field>``.
 
-    Every row gives one row; an empty table gives none. The names of the added columns begin with two underscores, so
-    that they clash with none of the table's.
+    Every row gives one row; an empty table gives none. The names of the added columns begin with two underscores, and
+    with more where the table has such a name itself (``common.fresh``).
     """
     keep = docs.columns if columns is None else columns
     fields = [(f, k) for f, k in zip(FIELDS, KINDS) if cleaned or f != "cleaned"]
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(f"__{f}", k) for f, k in fields])
-    read = docs.select(*[f"`{c}`" for c in dict.fromkeys([*keep, text])])
+    names = fresh(keep, *[f for f, _ in fields])
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(n, k) for n, (_, k) in zip(names, fields)])
+    read = docs.select(*map(named, dict.fromkeys([*keep, text])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [judge(x.as_py(), rules) for x in batch.column(batch.schema.get_field_index(text))]
             added = list(zip(*found)) if found else [()] * len(FIELDS)
             arrays = [batch.column(i) for i in range(len(keep))] + [pa.array(added[i], pa.string() if f == "cleaned" else pa.bool_() if f in ("base_failed", "kept") else pa.int64()) for i, (f, _) in enumerate(fields)]
-            yield pa.RecordBatch.from_arrays(arrays, names=list(chain(keep, (f"__{f}" for f, _ in fields))))
+            yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *names])
 
     return read.mapInArrow(run, schema)

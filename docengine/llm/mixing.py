@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, draw, word_count
+from .common import cut, draw, fresh, named, word_count
 
 #: Up to so many sources (some 100 bytes each) the rates are broadcast; beyond, they are joined by a salted shuffle.
 BROADCAST_SOURCES = 20_000
@@ -34,7 +34,7 @@ def source_rates(docs: DataFrame, size: Column, source: str = "source", weights:
     weight; no target exceeds ``most`` times its source's size, and what is above that is reshared by weight among the
     rest until none is above. Sources without words have target and rate 0. No rows give no sources.
     """
-    sums = docs.select(F.col(source).alias("__source"), size.alias("__size")).groupBy("__source").agg(F.sum("__size").alias("__source_size"))
+    sums = docs.select(named(source).alias("__source"), size.alias("__size")).groupBy("__source").agg(F.sum("__size").alias("__source_size"))
     ranked = global_rank(sums, F.col("__source").isNull(), F.col("__source"))
     weight = F.get(F.array(*map(F.lit, weights)), (F.col("__rank") % len(weights)).cast("int"))
     src = cut(ranked.select("__source", "__source_size", weight.cast("long").alias("__w"), (F.col("__source_size") * most).alias("__cap")))
@@ -50,34 +50,47 @@ def source_rates(docs: DataFrame, size: Column, source: str = "source", weights:
     return cut(src.withColumn("__target", target).withColumn("__rate", rate).select("__source", "__source_size", "__target", "__rate"))
 
 
-def with_copies(docs: DataFrame, rates: DataFrame, source: str = "source", key: str = "doc_id", seed: int = 42) -> DataFrame:
-    """``docs`` with ``__copies``, ``__source_size`` and ``__target``; every row is kept, null sources too."""
-    on = F.col(source).eqNullSafe(F.col("__source"))
+#: Columns that ``with_copies`` adds.
+ADDED = ("source", "source_size", "target", "rate", "copies", "salt", "copy", "other_salt")
+
+
+def with_copies(docs: DataFrame, rates: DataFrame, added: list[str], source: str = "source", key: str = "doc_id", seed: int = 42) -> DataFrame:
+    """``docs`` with the columns ``added`` (see ADDED); every row is kept, null sources too.
+
+    The draw of a row is made from its source and key. Rows without a key are told apart by their place in the table, so
+    that many of them aren't all taken or all left.
+    """
+    own, size, target, rate, copies, salt, _, other = added
+    rates = rates.select(F.col("__source").alias(own), F.col("__source_size").alias(size), F.col("__target").alias(target), F.col("__rate").alias(rate))
+    on = named(source).eqNullSafe(F.col(own))
     if rates.count() <= BROADCAST_SOURCES:
         joined = docs.join(F.broadcast(rates), on, "left")
     else:
-        salted = docs.withColumn("__salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
-        copies = rates.withColumn("__salt2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = salted.join(copies, on & (F.col("__salt") == F.col("__salt2")), "left").drop("__salt", "__salt2")
-    whole = F.floor("__rate")
-    extra = draw(F.lit(f"mix{seed}"), F.col(source), F.col(key)) < F.col("__rate") - whole
-    return joined.withColumn("__copies", whole + extra.cast("long")).drop("__source", "__rate")
+        salted = docs.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+        many = rates.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = salted.join(many, on & (F.col(salt) == F.col(other)), "left").drop(salt, other)
+    whole = F.floor(rate)
+    place = F.when(named(key).isNull(), F.monotonically_increasing_id())
+    extra = draw(F.lit(f"mix{seed}"), named(source), F.coalesce(named(key).cast("string"), place.cast("string"))) < F.col(rate) - whole
+    return joined.withColumn(copies, whole + extra.cast("long"))
 
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 42) -> DataFrame:
     """The mixture itself: the rows of ``docs``, each as often as its source's rate says, with their columns.
 
     The size of a document is its number of words. Null and empty texts have size 0; they follow the rate of their
-    source, null keys and repeated rows likewise (rows equal in source and key share a draw). An empty table stays
-    empty. Extra columns are carried along, whatever their names.
+    source, and so do repeated rows (which share a draw) and rows without a key (each has a draw
+    of its own place in the table). An empty table stays empty. Extra columns are carried along, whatever their names.
     """
-    rates = source_rates(docs, word_count(F.col(text)), source, weights, most)
-    again = F.explode(F.when(F.col("__copies") > 0, F.sequence(F.lit(1), F.col("__copies").cast("int"))))
-    return with_copies(docs, rates, source, key, seed).select(*[f"`{c}`" for c in docs.columns], again.alias("__copy")).drop("__copy")
+    rates = source_rates(docs, word_count(named(text)), source, weights, most)
+    added = fresh(docs.columns, *ADDED)
+    again = F.explode(F.when(F.col(added[4]) > 0, F.sequence(F.lit(1), F.col(added[4]).cast("int"))))
+    return with_copies(docs, rates, added, source, key, seed).select(*map(named, docs.columns), again.alias(added[6])).drop(added[6])
 
 
 def mix_report(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", seed: int = 42, **how) -> DataFrame:
     """Per document: size, its source's size and target, and the words that the mix takes of it."""
-    sized = cut(docs.select(F.col(key), F.col(source), word_count(F.col(text)).alias("__size")))
-    out = with_copies(sized, source_rates(sized, F.col("__size"), source, **how), source, key, seed)
-    return out.select(key, F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__size") * F.col("__copies")).alias("taken"))
+    sized = cut(docs.select(named(key).alias("__key"), named(source).alias("__from"), word_count(named(text)).alias("__size")))
+    added = fresh(sized.columns, *ADDED)
+    out = with_copies(sized, source_rates(sized, F.col("__size"), "__from", **how), added, "__from", "__key", seed)
+    return out.select(F.col("__key").alias(key), F.col("__size").alias("size"), F.col(added[1]).alias("source_size"), F.col(added[2]).alias("target"), (F.col("__size") * F.col(added[4])).alias("taken"))

@@ -23,15 +23,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, named
 
 LIMIT = 1024
-#: Entries of a worker's memory of encoded words (some 200 bytes each).
-REMEMBERED = 1 << 19
+#: Bytes of a worker's memory of encoded words, of which none is longer than LONGEST_WORD letters (some 256 bytes an entry at most).
+MEMORY, ENTRY, LONGEST_WORD = 48 << 20, 256, 48
 PIECES_PER_SALT = 20_000
 #: What stands for the end of a document.
 END_ID = 2
 TWO_SPACES = re.compile(r"\s\s")
+RESET = re.compile(r"(?<=\S) (?=\S)")
+#: Runs of white space (as Unicode has it) that are too long for the encoder's pattern, which tracks back over each character.
+LONG_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{4096,}")
 
 
 def byte_of_letter() -> dict[str, int]:
@@ -49,17 +52,22 @@ def vocabulary(definition: str) -> tuple[dict[bytes, int], dict[str, int]]:
     return {bytes(map(letters.__getitem__, t)): i for t, i in j["model"]["vocab"].items() if t not in special}, special
 
 
-def loose(text: str) -> bool:
-    """Whether white space stands at an end of the text or beside other white space."""
-    return text[:1].isspace() or text[-1:].isspace() or TWO_SPACES.search(text) is not None
+def between_resets(text: str) -> list[str]:
+    """The parts of a text between single spaces that stand between two characters that aren't white space.
+
+    Such a space begins a new pretoken wherever it stands.
+    """
+    return RESET.split(text) if TWO_SPACES.search(text) else text.split(" ")
 
 
 class Encoder:
     """Ids of whole texts, as little-endian unsigned 32-bit numbers in bytes.
 
-    A single space between two other characters that aren't white space begins a new pretoken wherever it stands, so a
-    text may be encoded in the parts between such spaces; parts are remembered, as most recur. ids come from the merge
-    ranks of the same vocabulary, so they are those of the tokenizer the definition is of.
+    A text is encoded in the parts between resets, which are remembered, as most recur. ids come from the merge ranks of
+    the same vocabulary, so they are those of the tokenizer the definition is of.
+
+    The last character of a run of white space goes to what follows it and the rest is one pretoken, so long runs are cut
+    out by that rule instead of by the pattern.
     """
 
     def __init__(self, definition: str):
@@ -68,43 +76,43 @@ class Encoder:
 
         ranks, special = vocabulary(definition)
         self.encoding = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        self.special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.inner = Remembered(lambda part: self.plain(" " + part))
 
     def plain(self, text: str) -> bytes:
-        out = array("I", self.encoding.encode(text, allowed_special="all"))
-        return out.tobytes()
+        if len(text) >= 4096 and LONG_RUN.search(text):
+            sections = self.special.split(text) if self.special else [text]
+            return b"".join(ids for section in sections for ids in self._with_runs(section))
+        return array("I", self.encoding.encode(text, allowed_special="all")).tobytes()
+
+    def _with_runs(self, section: str) -> Iterator[bytes]:
+        """ids of a text that is one special string or holds none, with its long runs of white space taken apart."""
+        at = 0
+        for run in LONG_RUN.finditer(section):
+            yield self.plain(section[at : run.start()])
+            at = run.end() if run.end() == len(section) else run.end() - 1
+            yield array("I", self.encoding._encode_single_piece(section[run.start() : at])).tobytes()
+        if rest := section[at:]:
+            yield array("I", self.encoding.encode(rest, allowed_special="all")).tobytes()
 
     def __call__(self, text: str) -> bytes:
-        if loose(text):
-            return self._with_spaces(text)
-        first, *parts = text.split(" ")
+        if len(text) >= 4096 and LONG_RUN.search(text):
+            return self.plain(text)
+        first, *parts = between_resets(text)
         return self.plain(first) + b"".join(map(self.inner.__getitem__, parts))
 
-    def _with_spaces(self, text: str) -> bytes:
-        """The same where spaces meet other white space: such parts stay together."""
-        out, held = [], ""
-        parts = text.split(" ")
-        for i, part in enumerate(parts):
-            if i and part and not part[0].isspace() and held and not held[-1].isspace():
-                out.append(held)
-                held = " " + part
-            else:
-                held += " " * bool(i) + part
-        out.append(held)
-        return b"".join(self.inner[x[1:]] if x[:1] == " " else self.plain(x) for x in out)
-
 
 class Remembered(dict):
-    """What ``of`` gives for a key, remembered for up to ``most`` short keys, then forgotten and begun again."""
+    """What ``of`` gives for a key, remembered for short keys until MEMORY is full, then forgotten and begun again."""
 
-    def __init__(self, of: Callable, most: int = REMEMBERED):
+    def __init__(self, of: Callable, memory: int = MEMORY):
         super().__init__()
         self.of = of
-        self.most = most
+        self.most = memory // ENTRY
 
     def __missing__(self, key: str | int):
         out = self.of(key)
-        if isinstance(key, int) or len(key) <= 48:
+        if isinstance(key, int) or len(key) <= LONGEST_WORD:
             if len(self) >= self.most:
                 self.clear()
             self[key] = out
@@ -152,7 +160,7 @@ def pieces(docs: DataFrame, definition: str, text: str = "text", key: str = "doc
             arrays = [batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
             yield pa.RecordBatch.from_arrays(arrays + ([pa.array(own, pa.list_(pa.int32()))] if ids else []), names=schema.names)
 
-    return docs.select(F.col(key), F.col(text)).mapInArrow(run, schema)
+    return docs.select(named(key), named(text)).mapInArrow(run, schema)
 
 
 def patterns_for(counts: np.ndarray, limit: int = LIMIT, most: int = 6000) -> list[tuple[int, ...]]:
@@ -248,13 +256,15 @@ def slots(packed: list[tuple[tuple[int, ...], int]]) -> dict[int, np.ndarray]:
 def ranked(found: DataFrame, key: str, histogram: dict[int, int]) -> DataFrame:
     """``found`` with ``__rank``, from 0 among the pieces of the same length.
 
-    A length has a salt for every PIECES_PER_SALT of its pieces, and 8 at least, so the table of salts stays small.
+    A length has a salt for every PIECES_PER_SALT of its pieces, and 8 at least, so the table of salts stays small. Rows
+    are dealt to the salts in turn, not by what they hold, so equal rows and null keys don't meet in one.
     """
-    shares = F.create_map(*[F.lit(x) for n, c in sorted(histogram.items()) for x in (n, max(8, -(-c // PIECES_PER_SALT)))]) if histogram else F.create_map(F.lit(0), F.lit(1))
-    salted = found.withColumn("__salt", F.pmod(F.xxhash64(key, "piece", "ids_crc32"), shares[F.col("length").cast("int")]))
+    most = max(histogram, default=0)
+    shares = F.array(*[F.lit(max(8, -(-histogram.get(n, 0) // PIECES_PER_SALT))) for n in range(most + 1)])
+    salted = found.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.get(shares, F.col("length").cast("int"))))
     before = Window.partitionBy("length").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = salted.groupBy("length", "__salt").count().withColumn("__before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
-    order = Window.partitionBy("length", "__salt").orderBy(key, "piece", "ids_crc32")
+    order = Window.partitionBy("length", "__salt").orderBy(named(key), "piece", "ids_crc32")
     inside = salted.withColumn("__inside", F.row_number().over(order))
     return inside.join(offsets, ["length", "__salt"]).withColumn("__rank", F.col("__before") + F.col("__inside") - 1).drop("__salt", "__inside", "__before")
 
@@ -284,4 +294,4 @@ def pack(docs: DataFrame, definition: str, text: str = "text", key: str = "doc_i
                 sequence[own], offset[own] = seq + j // m, off + j % m * n
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(sequence), pa.array(offset)], names=schema.names)
 
-    return placed.select(*columns, "__rank").mapInArrow(run, schema)
+    return placed.select(*map(named, columns), "__rank").mapInArrow(run, schema)

@@ -12,11 +12,16 @@ skip it. Every repetition in the expression is bounded, so the time for a text i
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import secrets
+from hashlib import sha256
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Any session gives its own; pseudonyms of one key can be told from those of another.
-KEY = "pseudonym-key"
+from .common import fresh, named
+
+#: The session's setting that holds the secret key. Who has it can undo the pseudonyms of numbers and dates.
+KEY_SETTING = "spark.docengine.pseudonym.key"
 ROUNDS = 10
 
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){1,8}"
@@ -40,9 +45,23 @@ FIRST_DAY, DAY_RADIX = "1900-01-01", (17, 4297)
 AREAS, GROUP_SERIALS = 898, 99 * 9999
 
 
+def session_key(spark: SparkSession) -> str:
+    """The session's secret key. Where none is set, a new one that nobody keeps: values stay linked within one run then."""
+    return spark.conf.get(KEY_SETTING, None) or secrets.token_hex(32)
+
+
+def _mac(key: str, *parts: Column) -> Column:
+    """HMAC-SHA256 of the parts, as hex digits."""
+    raw = key.encode("utf-8")
+    block = (sha256(raw).digest() if len(raw) > 64 else raw).ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(x ^ pad for x in block)) for pad in (0x36, 0x5C))
+    said = F.concat_ws("|", *[p.cast("string") for p in parts]).cast("binary")
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, said), 256))), 256)
+
+
 def _hash(key: str, *parts: Column) -> Column:
     """52 bits of a keyed hash."""
-    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(key), *[p.cast("string") for p in parts])), 1, 13), 16, 10).cast("long")
+    return F.conv(F.substring(_mac(key, *parts), 1, 13), 16, 10).cast("long")
 
 
 def feistel(kind: str, left: Column, right: Column, left_radix: Column, right_radix: Column, key: str) -> Column:
@@ -224,17 +243,17 @@ def _iban(m: Column, key: str) -> Column:
 
 
 def _email(m: Column, key: str) -> Column:
-    return F.concat(F.lit("u"), F.substring(F.md5(F.concat_ws("|", F.lit(key), F.lit("email"), F.lower(m))), 1, 16), F.lit("@example.invalid"))
+    return F.concat(F.lit("u"), F.substring(_mac(key, F.lit("email"), F.lower(m)), 1, 16), F.lit("@example.invalid"))
 
 
 def _secret(m: Column, key: str) -> Column:
     head = F.regexp_extract(m, "^(AKIA|ASIA|gh[pousr]_|sk-)", 1)
-    digest = lambda i: F.sha2(F.concat_ws("|", F.lit(key), F.lit("secret"), F.lit(i), m), 256)
+    digest = lambda i: _mac(key, F.lit("secret"), F.lit(i), m)
     body = F.substring(F.concat(digest(0), digest(1)), F.lit(1), F.length(m) - F.length(head))
     return F.concat(head, F.when(m == F.upper(m), F.upper(body)).otherwise(body))
 
 
-def pseudonym(m: Column, key: str = KEY) -> Column:
+def pseudonym(m: Column, key: str) -> Column:
     """The pseudonym of one match of ``ANY``; the match itself where it isn't valid."""
     whole = lambda p: m.rlike(f"^(?:{p})$")
     return (
@@ -249,19 +268,21 @@ def pseudonym(m: Column, key: str = KEY) -> Column:
     )
 
 
-def pseudonymised(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
-    """``docs`` with ``text`` replaced and ``__pii``, the number of values replaced in it.
+def pseudonymised(docs: DataFrame, text: str = "text", key: str | None = None, count: str | None = None) -> DataFrame:
+    """``docs`` with ``text`` replaced and, where ``count`` names a column, the number of values replaced in it.
 
-    Null texts stay null and count 0; empty ones stay empty. Other columns and the order of values are kept; repeated
-    rows get the same text. An empty table stays empty.
+    The key is the session's if none is given. Null texts stay null and count 0; empty ones stay empty. Other columns and
+    the order of values are kept, whatever the columns' names; repeated rows get the same text. An empty table stays empty.
     """
+    key = key or session_key(docs.sparkSession)
+    found_name, new_name, count_name = fresh(docs.columns, "found", "new", "count")
+    whole, found, new = named(text), F.col(found_name), F.col(new_name)
     # Columns under lambdas are computed for each element: what an element needs is laid out before.
-    may = F.col(text).rlike("[0-9@]")
-    found = docs.withColumn("__found", F.when(may, F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0))))
-    new = F.transform(F.col("__found"), lambda m: pseudonym(m, key))
-    done = found.withColumn("__new", F.when(F.size("__found") > 0, new))
-    between = F.split(F.col(text), ANY, -1)
-    joined = F.concat_ws("", F.flatten(F.zip_with(between, F.col("__new"), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))))
-    changed = F.size(F.filter(F.zip_with("__found", "__new", lambda a, b: a != b), lambda x: x))
-    out = done.withColumn("__pii", F.when(F.col("__new").isNull(), 0).otherwise(changed).cast("long"))
-    return out.withColumn(text, F.when(F.col("__new").isNotNull(), joined).otherwise(F.col(text))).drop("__found", "__new")
+    laid = docs.withColumn(found_name, F.when(whole.rlike("[0-9@]"), F.regexp_extract_all(whole, F.lit(ANY), F.lit(0))))
+    done = laid.withColumn(new_name, F.when(F.size(found) > 0, F.transform(found, lambda m: pseudonym(m, key))))
+    between = F.split(whole, ANY, -1)
+    joined = F.concat_ws("", F.flatten(F.zip_with(between, new, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))))
+    changed = F.size(F.filter(F.zip_with(found, new, lambda a, b: a != b), lambda x: x))
+    columns = [F.when(new.isNotNull(), joined).otherwise(whole).alias(c) if c == text else named(c) for c in docs.columns]
+    counted = F.when(new.isNull(), 0).otherwise(changed).cast("long")
+    return done.select(*columns, *([counted.alias(count)] if count else []))

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import draw
+from .common import draw, fresh, named
 
 WORD_BITS = 14
 WORDS = 1 << WORD_BITS
@@ -130,17 +130,19 @@ def _laid_out(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, n
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text", key: str = "doc_id", label: str = "quality", chars: str = "n_chars", most_rows: int = 4000, most_bytes: int = 65_536) -> Machine | None:
-    """A machine fitted on about ``most_rows`` labelled rows of up to ``most_bytes`` for which ``learn`` holds.
+    """A machine fitted on about ``most_rows`` labelled documents of up to ``most_bytes`` for which ``learn`` holds.
 
-    The labels are thinned by hash before they meet the documents, so the joined side and what comes to the driver are
-    bounded by the two parameters. Rows with null labels or keys aren't learnt from.
+    The labels are thinned by hash before they meet the documents, and of rows that share a key one is learnt from, so the
+    joined side and what comes to the driver are bounded by the two parameters. Rows with null labels or keys aren't
+    learnt from.
     """
-    usable = labels.select(F.col(key), F.col(label).alias("__y")).where(learn & F.col(key).isNotNull() & F.col("__y").isNotNull()).groupBy(key).agg(F.max("__y").alias("__y"))
+    usable = labels.select(named(key), named(label).alias("__y")).where(learn & named(key).isNotNull() & F.col("__y").isNotNull()).groupBy(named(key).alias("__key")).agg(F.max("__y").alias("y"))
     n = usable.count()
-    chosen = usable.where(draw(F.lit("quality"), F.col(key)) < F.lit(min(1.0, most_rows / max(1, n))))
-    meta = F.col(chars) if chars in docs.columns else F.lit(None)
-    rows = docs.where(F.octet_length(text) <= most_bytes).select(F.col(key), F.col(text).alias("t"), meta.cast("long").alias("c")).join(F.broadcast(chosen), key)
-    got = rows.orderBy(key, "t").select("t", "c", F.col("__y").cast("double").alias("y")).toPandas()
+    chosen = usable.where(draw(F.lit("quality"), F.col("__key")) < F.lit(min(1.0, most_rows / max(1, n))))
+    meta = named(chars) if chars in docs.columns else F.lit(None)
+    short = docs.where(F.octet_length(named(text)) <= most_bytes).select(named(key).alias("__key"), named(text).alias("t"), meta.cast("long").alias("c"))
+    rows = short.join(F.broadcast(chosen), "__key").groupBy("__key", "y").agg(F.min(F.struct("t", "c")).alias("row")).select("__key", "row.t", "row.c", F.col("y").cast("double").alias("y"))
+    got = rows.orderBy("__key").select("t", "c", "y").toPandas()
     if got.empty:
         return None
     found = [features(t, None if c is None or c != c else int(c)) for t, c in zip(got.t, got.c)]
@@ -151,11 +153,12 @@ def scored(docs: DataFrame, machine: Machine | None, text: str = "text", chars:
     """The ``columns`` of ``docs`` (all if None) with ``__score`` from 0 to 1.
 
     Null texts are scored as empty ones. Without a machine every score is 0.5. Repeated rows give a row each; an empty
-    table gives none. The added name begins with two underscores.
+    table gives none. The added name begins with two underscores, and with more where the table has it (``common.fresh``).
     """
     keep = docs.columns if columns is None else columns
-    schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("__score", T.DoubleType())])
-    meta = F.col(chars) if chars in docs.columns else F.lit(None)
+    score_name, text_name, chars_name = fresh(keep, "score", "text", "chars")
+    schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField(score_name, T.DoubleType())])
+    meta = named(chars) if chars in docs.columns else F.lit(None)
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,4 +178,4 @@ def scored(docs: DataFrame, machine: Machine | None, text: str = "text", chars:
             score = np.concatenate(out) if m is not None else np.full(batch.num_rows, 0.5)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(score)], names=schema.names)
 
-    return docs.select(*[f"`{c}`" for c in keep], F.col(text).alias("__text"), meta.cast("long").alias("__chars")).mapInArrow(run, schema)
+    return docs.select(*map(named, keep), named(text).alias(text_name), meta.cast("long").alias(chars_name)).mapInArrow(run, schema)

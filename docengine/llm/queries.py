@@ -22,7 +22,7 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymised(table(spark, sf_dir, "documents")).withColumnRenamed("__pii", "n_replaced")
+    return pii.pseudonymised(table(spark, sf_dir, "documents"), count="n_replaced")
 
 
 def op3_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:

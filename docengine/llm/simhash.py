@@ -5,24 +5,28 @@ pigeonring principle gives a start segment from which every chain of consecutive
 difference within the proportional budget ``floor(2 * length / 5)``: 0, 0, 1, 1, 2. So the first two segments of that
 chain are equal, and they are the key by which candidates meet; the longer chains prune them before the full check.
 
-Only distinct fingerprints are compared, so exact copies cost one row. A key shared by very many fingerprints is not
-expanded into pairs: its members meet in the points at distance 0 or 1 from them instead (two of them share such a
-point exactly if they differ in two bits at most), which stays linear and exact.
+Only distinct fingerprints are compared, so exact copies cost one row. A key shared by many fingerprints is narrowed by
+the chain of three: its third segment may differ in one bit, so members meet in the values at distance 0 or 1 from it.
+Where even such a group is large its members aren't expanded into pairs: they meet in the points at distance 0 or 1 from
+them instead (two of them share such a point exactly if they differ in two bits at most), which stays linear and exact.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, fresh, named, salted_join
 from .components import components
 
 WIDTHS = (13, 13, 13, 13, 12)
 STARTS = tuple(sum(WIDTHS[:i]) for i in range(len(WIDTHS)))
-#: Keys with more distinct fingerprints than this go by the points around them.
+#: Keys with more distinct fingerprints than this are narrowed by a third segment, and then go by the points around them.
 HOT = 64
 #: Shingles whose bits are counted at a time.
 BLOCK = 1 << 15
@@ -46,14 +50,16 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(text: Column) -> Column:
-    """The fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """(__key, fp) of every row; the fingerprint is a signed long."""
+    schema = T.StructType([T.StructField("__key", docs.schema[key].dataType), T.StructField("fp", T.LongType())])
 
-    @F.pandas_udf("long")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.fromiter((fingerprint(t.as_py()) for t in batch.column(1)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=schema.names)
 
-    return of(text)
+    return docs.select(named(key), named(text)).mapInArrow(run, schema)
 
 
 def _segment(fp: Column, i: int) -> Column:
@@ -80,36 +86,62 @@ def _chain_holds(a: Column, b: Column) -> Column:
     return out
 
 
+def _by_start(values) -> Column:
+    """An array of numbers that depends on the start segment."""
+    out = F.lit(None).cast("array<bigint>")
+    for i in range(5):
+        out = F.when(F.col("start") == i, F.array(*map(F.lit, values(i)))).otherwise(out)
+    return out
+
+
+def _flips(segments: list[int]) -> list[int]:
+    """No change, and each change of one bit in the given segments, as signed longs."""
+    bits = [s for k in segments for s in range(STARTS[k % 5], STARTS[k % 5] + WIDTHS[k % 5])]
+    return [0] + [(1 << s) - (1 << 64) if s == 63 else 1 << s for s in bits]
+
+
 def links(nodes: DataFrame) -> DataFrame:
     """Edges ``(a, b)`` whose components are those of all pairs of distinct ``nodes.fp`` at Hamming distance 1 or 2."""
-    keys = cut(_keys(nodes))
+    keys = _keys(nodes)
     sizes = keys.groupBy("start", "seg").agg(F.count("*").alias("n")).where("n > 1")
     shared = cut(keys.join(sizes, ["start", "seg"]))
     few = shared.where(F.col("n") <= HOT).drop("n")
     a, b = few.withColumnRenamed("fp", "a"), few.withColumnRenamed("fp", "b")
-    pairs = a.join(b, ["start", "seg"]).where((F.col("a") < F.col("b")) & _chain_holds(F.col("a"), F.col("b"))).select("a", "b")
-
-    def flips(i: int) -> list[int]:
-        own = {i, (i + 1) % 5}
-        bits = [s for k, s0 in enumerate(STARTS) if k not in own for s in range(s0, s0 + WIDTHS[k])]
-        return [0] + [(1 << s) - (1 << 64) if s == 63 else 1 << s for s in bits]
-
-    around = F.lit(None).cast("array<bigint>")
+    out = a.join(b, ["start", "seg"]).where((F.col("a") < F.col("b")) & _chain_holds(F.col("a"), F.col("b"))).select("a", "b")
+    hot = shared.where(F.col("n") > HOT).drop("n")
+    if hot.isEmpty():
+        return out
+    third = F.lit(None).cast("bigint")
     for i in range(5):
-        around = F.when(F.col("start") == i, F.array(*map(F.lit, flips(i)))).otherwise(around)
-    points = shared.where(F.col("n") > HOT).select("start", "seg", "fp", F.explode(around).alias("flip")).select("start", "seg", "fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("point"))
+        mask = sum(1 << s for s in range(STARTS[(i + 2) % 5], STARTS[(i + 2) % 5] + WIDTHS[(i + 2) % 5]))
+        third = F.when(F.col("start") == i, F.col("fp").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))).otherwise(third)
+    changed = hot.withColumn("flip", F.explode(_by_start(lambda i: _flips([i + 2]))))
+    near = changed.select("start", "seg", third.bitwiseXOR(F.col("flip")).alias("third"), "fp", (F.col("flip") == 0).alias("own"))
+    group = ["start", "seg", "third"]
+    narrow = near.groupBy(*group).agg(F.count("*").alias("n"), F.count_if("own").alias("owners")).where("n > 1 and owners > 0")
+    met = cut(near.join(narrow, group).drop("owners"))
+    own = met.where(F.col("own") & (F.col("n") <= HOT)).select(*group, F.col("fp").alias("a"))
+    other = met.where(F.col("n") <= HOT).select(*group, F.col("fp").alias("b"), "own")
+    # Where both have the third segment itself, the pair counts once; else the owner's side has it.
+    out = out.union(own.join(other, group).where((F.col("a") != F.col("b")) & (~F.col("own") | (F.col("a") < F.col("b"))) & _chain_holds(F.col("a"), F.col("b"))).select("a", "b"))
+    dense = met.where(F.col("n") > HOT).select("start", "seg", "fp").distinct()
+    points = dense.select("start", "seg", "fp", F.explode(_by_start(lambda i: _flips([i + 2, i + 3, i + 4]))).alias("flip")).select("start", "seg", "fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("point"))
     # At most 65 distinct fingerprints lie around a point, so these groups are bounded.
     star = points.withColumn("a", F.min("fp").over(Window.partitionBy("start", "seg", "point"))).select("a", F.col("fp").alias("b")).where("a != b")
-    return pairs.union(star)
+    return out.union(star)
 
 
 def _labelled(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, DataFrame]:
     """(__key, fp) of every row, and (fp, root, component_id) of every distinct fingerprint."""
-    marked = cut(docs.select(F.col(key).alias("__key"), fingerprints(F.col(text)).alias("fp")))
-    nodes = cut(marked.groupBy("fp").agg(F.min("__key").alias("least")))
+    marked = cut(fingerprints(docs, text, key))
+    total = marked.count()
+    nodes = cut(marked.groupBy("fp").agg(F.min("__key").alias("least")), total)
     roots = components(links(nodes.select("fp"))).withColumnRenamed("node", "fp")
-    rooted = nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    return marked, rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
+    rooted = cut(nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), total)
+    grouped = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    several = cut(grouped.where("n > 1").drop("n"), total)  # a fingerprint that is alone has its own least key
+    labelled = salted_join(rooted, several, "root", "left")
+    return marked, cut(labelled.select("fp", "root", F.when(F.col("component_id").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id")), total)
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -119,28 +151,31 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     zero and are linked like any other. Repeated rows are repeated in the result; null keys are never chosen as a
     component's id, which is null where it has no other. An empty table gives no rows. Extra columns are not read.
     """
-    marked, named = _labelled(docs, text, key)
-    return marked.join(named, "fp").select(F.col("__key").alias(key), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    marked, labelled = _labelled(docs, text, key)
+    return salted_join(marked, labelled, "fp").select(F.col("__key").alias(key), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``docs`` with one document of each component: the one with the smallest key (all its columns).
 
     Of rows that share that key the one with the smallest text is kept. Rows with a null key stay only where their
-    component has no other key, one for each. Documents are shuffled once, to meet the kept keys; only where keys
-    repeat or are null does more happen.
+    component has no other key, one for each. Extra columns are carried along, whatever their names. Documents are
+    shuffled once, to meet the kept keys; only where keys repeat or are null does more happen.
     """
-    marked, named = _labelled(docs, text, key)
-    named = cut(named)
-    cols = [f"`{c}`" for c in docs.columns]
-    chosen = named.where("component_id is not null").select(F.col("component_id").alias("__kept")).distinct()
-    kept = docs.join(chosen, F.col(key) == F.col("__kept"), "left_semi")
+    marked, labelled = _labelled(docs, text, key)
+    chosen, row, root, own = fresh(docs.columns, "chosen", "row", "root", "own")
+    columns = [named(c) for c in docs.columns]
+    ids = labelled.where("component_id is not null").select(F.col("component_id").alias(chosen)).distinct()
+    kept = docs.join(ids, named(key) == F.col(chosen), "left_semi")
     if not marked.where("__key is not null").groupBy("__key").count().where("count > 1").isEmpty():
-        first = F.row_number().over(Window.partitionBy(key).orderBy(text))
-        kept = kept.withColumn("__row", first).where("__row = 1").select(*cols)
+        first = F.row_number().over(Window.partitionBy(named(key)).orderBy(named(text)))
+        kept = kept.withColumn(row, first).where(F.col(row) == 1).select(*columns)
     if not marked.where("__key is null").isEmpty():
-        lone = named.where("component_id is null").select("fp", F.col("root").alias("__root")).withColumnRenamed("fp", "__fp")
-        nameless = docs.where(F.col(key).isNull()).withColumn("__own", fingerprints(F.col(text))).join(lone, F.col("__own") == F.col("__fp"))
-        first = F.row_number().over(Window.partitionBy("__root").orderBy(text))
-        kept = kept.unionByName(nameless.withColumn("__row", first).where("__row = 1").select(*cols))
+        lone = labelled.where("component_id is null").select("fp", "root")
+        nameless = docs.where(named(key).isNull())
+        prints = fingerprints(nameless.select(F.struct(*columns).alias("row"), named(text).alias("text")), "text", "row")
+        groups = salted_join(prints, lone, "fp")
+        # One row of each component, by a minimum that is found before rows meet.
+        least = groups.groupBy("root").agg(F.min_by("__key", F.struct(F.col("__key").getField(text), F.xxhash64("__key"))).alias("__key"))
+        kept = kept.unionByName(least.select(*[F.col("__key").getField(c).alias(c) for c in docs.columns]))
     return kept

@@ -7,10 +7,11 @@ place in the vocabulary trie, the last token before that start and the count the
 transition is annotated with the change of the number of emitted tokens. States are numbered as they are first
 reached, so the machine is compiled as far as the texts need it and each transition is worked out once in a worker.
 
-Composition. The machine is in its start state again at every single space between two characters that aren't white
-space. A chunk of text therefore acts on whatever state it is entered in only up to its first such reset; its state
-map is what stands before that reset, the tokens emitted between its first and last resets, and what follows the last.
-Maps compose associatively, so the chunks of a long text are read apart and combined by a prefix scan.
+Composition. A text is cut into chunks where a pretoken ends whatever stands around it; there the machine is in its start
+state. A pretoken longer than a chunk is cut into chunks itself. Each chunk becomes a state map: from the state in which it
+is entered to the state after it and the tokens counted. A map is worked out for the state that the bytes before the chunk
+suggest, and for any other state it turns out to be entered in: that run ends as soon as it meets the known one. Maps
+compose associatively and are reduced by a scan over halves, of which only the last value is kept.
 """
 
 from __future__ import annotations
@@ -18,19 +19,28 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from collections.abc import Callable
-from typing import NamedTuple, TypeVar
+from collections.abc import Callable, Iterable, Iterator
+from typing import TypeVar
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .packing import REMEMBERED, Remembered, byte_of_letter, loose
+from .common import named
+from .packing import MEMORY, Remembered, between_resets, byte_of_letter
 
+#: Characters of a chunk, or bytes where it lies inside one pretoken.
 CHUNK = 1 << 16
-#: States of the machine before it is begun anew (some 300 bytes each).
-MOST_STATES = 1 << 18
+#: States of the machine before it is begun anew (some 900 bytes each), looked at after every STRETCH bytes.
+MOST_STATES, STRETCH = 1 << 16, 1024
+#: Bytes before a chunk from which the state at its start is guessed.
+BEFORE = 64
 BASE = 128
+#: The state at the start of a pretoken.
+START: tuple = (None, ())
+#: Where a pretoken ends whatever stands around: before white space, and after letters or digits before anything else.
+SAFE_CUT = r"(?<=\S)(?=\s)|(?<=\p{L})(?=[^\s\p{L}])|(?<=\p{N})(?=[^\s\p{N}])"
 X = TypeVar("X")
 
 
@@ -72,10 +82,17 @@ class Machine:
         self.reset()
 
     def reset(self) -> None:
-        self.states: list[tuple] = [(None, ())]
-        self.number: dict[tuple, int] = {self.states[0]: 0}
+        self.states: list[tuple] = [START]
+        self.number: dict[tuple, int] = {START: 0}
         self.table: dict[int, int] = {}
 
+    def _number(self, state: tuple) -> int:
+        at = self.number.get(state)
+        if at is None:
+            at = self.number[state] = len(self.states)
+            self.states.append(state)
+        return at
+
     def _edge(self, token: int, side: int) -> list[tuple[int, float]]:
         """The parts that stood at one edge of a token while it was built, each with the merge that took it up."""
         out, until = [(token, float("inf"))], token
@@ -106,43 +123,86 @@ class Machine:
                 change = count + 1
                 break
         new = (token, tuple((n, b, c - change) for n, b, c in reached if self.inner[n]))
-        to = self.number.get(new)
-        if to is None:
-            to = self.number[new] = len(self.states)
-            self.states.append(new)
-        out = self.table[state << 8 | byte] = (to << 8) + change + BASE
+        out = self.table[state << 8 | byte] = (self._number(new) << 8) + change + BASE
         return out
 
+    def run(self, data: bytes, entry: tuple = START) -> tuple[tuple, int]:
+        """The state after ``data`` and the tokens counted. Full tables are begun anew, inside a pretoken too."""
+        state, total = self._number(entry), 0
+        for at in range(0, len(data), STRETCH):
+            if len(self.states) > MOST_STATES:
+                now = self.states[state]
+                self.reset()
+                state = self._number(now)
+            get = self.table.get
+            for byte in data[at : at + STRETCH]:
+                step = get(state << 8 | byte) or self._compile(state, byte)
+                state = step >> 8
+                total += (step & 255) - BASE
+        return self.states[state], total
+
     def count(self, pretoken: bytes) -> int:
         """Tokens of one pretoken."""
-        if len(self.states) > MOST_STATES:
-            self.reset()
-        state = total = 0
-        get = self.table.get
-        for byte in pretoken:
-            step = get(state << 8 | byte) or self._compile(state, byte)
-            state = step >> 8
-            total += (step & 255) - BASE
-        return total
-
-
-class ChunkMap(NamedTuple):
-    """How a chunk acts: the text before its first reset, tokens between the first and last, the text after the last.
-
-    ``count`` is None for a chunk without a reset; all its text is ``head`` then.
-    """
+        return self.run(pretoken)[1]
+
+
+class ChunkMap:
+    """From the state in which a chunk is entered to the state after it and its tokens."""
+
+    def __init__(self, way: Callable[[tuple], tuple[tuple, int]], entries: Iterable[tuple]):
+        self.way = way
+        self.ways: dict[tuple, tuple[tuple, int]] = {}
+        for s in entries:
+            self.after(s)
+
+    def after(self, entry: tuple) -> tuple[tuple, int]:
+        if entry not in self.ways:
+            self.ways[entry] = self.way(entry)
+        return self.ways[entry]
+
+    def then(self, other: ChunkMap) -> ChunkMap:
+        def way(entry: tuple) -> tuple[tuple, int]:
+            middle, n = self.after(entry)
+            end, m = other.after(middle)
+            return end, n + m
+
+        return ChunkMap(way, self.ways)
+
+
+def inside(machine: Machine, data: bytes, before: bytes, last: bool) -> ChunkMap:
+    """The map of a chunk inside a pretoken. ``before`` are the bytes before it; after the ``last`` one the pretoken ends."""
+    marks: dict[int, tuple[tuple, int]] = {}
+    known: list[tuple[tuple, int]] = []
+
+    def way(entry: tuple) -> tuple[tuple, int]:
+        state, total, at, to = entry, 0, 0, BEFORE
+        while at < len(data):
+            state, n = machine.run(data[at:to], state)
+            total, at, to = total + n, to, 2 * to
+            if not known:
+                marks[at] = state, total
+            elif marks[at][0] == state:  # from here on as before
+                return known[0][0], total + known[0][1] - marks[at][1]
+        out = START if last else state, total
+        if not known:
+            known.append(out)
+        return out
 
-    head: str
-    count: int | None
-    tail: str
+    return ChunkMap(way, [machine.run(before)[0]])
 
 
-def scan(items: list[X], combine: Callable[[X, X], X]) -> list[X]:
-    """Inclusive prefix scan by halving: neighbours are combined level by level, as parallel workers would."""
-    if len(items) < 2:
-        return items
-    pairs = scan([combine(items[i], items[i + 1]) for i in range(0, len(items) - 1, 2)], combine)
-    return [items[0] if i == 0 else pairs[i // 2] if i % 2 else combine(pairs[i // 2 - 1], items[i]) for i in range(len(items))]
+def reduced(items: Iterable[X], combine: Callable[[X, X], X]) -> X | None:
+    """The last value of a prefix scan over halves: equal numbers of neighbours are combined as soon as both are there."""
+    held: list[tuple[int, X]] = []
+    for x in items:
+        n = 1
+        while held and held[-1][0] == n:
+            x, n = combine(held.pop()[1], x), 2 * n
+        held.append((n, x))
+    out = held.pop()[1] if held else None
+    while held:
+        out = combine(held.pop()[1], out)
+    return out
 
 
 class Counter:
@@ -154,73 +214,69 @@ class Counter:
 
         self.machine = Machine(definition)
         self.pretokens = regex.compile(public_tokenizers.PATTERN)
+        self.safe = regex.compile(SAFE_CUT)
         specials = [t["content"] for t in json.loads(definition).get("added_tokens", [])]
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(specials, key=len, reverse=True))) + ")") if specials else None
         self.special_set = set(specials)
-        self.words: Remembered = Remembered(lambda word: self.machine.count(word.encode("utf-8")), REMEMBERED // 2)
-        self.parts: Remembered = Remembered(self._part)
+        self.words: Remembered = Remembered(lambda word: self.machine.count(word.encode("utf-8")), MEMORY // 2)
+        self.parts: Remembered = Remembered(self._part, MEMORY // 2)
 
     def _part(self, part: str) -> int:
         """A part that follows a space. Letters alone are one pretoken with it, and so is a last sign a second one."""
         if part.isalpha():
             return self.machine.count(b" " + part.encode("utf-8"))
-        if part[-1] in ".,!?" and part[:-1].isalpha():
+        if part[-1:] in (".", ",", "!", "?") and part[:-1].isalpha():
             return self.words[" " + part[:-1]] + self.words[part[-1]]
         return self.run(" " + part)
 
+    def _sections(self, text: str) -> list[str]:
+        """A text cut at its special strings, which are sections of their own."""
+        return [x for x in self.special.split(text) if x] if any(s in text for s in self.special_set) else [text]
+
     def run(self, text: str) -> int:
-        """The machine over a text that is entered in the start state."""
-        total = 0
-        for piece in self.special.split(text) if any(s in text for s in self.special_set) else (text,):
-            if piece in self.special_set:
-                total += 1
-            elif piece:
-                total += sum(map(self.words.__getitem__, self.pretokens.findall(piece)))
-        return total
-
-    def map_of(self, text: str) -> ChunkMap:
-        first, *parts = text.split(" ")
-        held, head, count = first, None, 0
-        before = first[-1:]
-        for part in parts:
-            if part and not part[0].isspace() and before and not before.isspace():  # a reset
-                if head is None:
-                    head = held
-                else:
-                    count += self.parts[held[1:]]
-                held = " " + part
-            else:
-                held += " " + part
-            before = part[-1:] or " "
-        return ChunkMap(held, None, "") if head is None else ChunkMap(head, count, held)
-
-    def then(self, a: ChunkMap, b: ChunkMap) -> ChunkMap:
-        """The map of two chunks one after the other."""
-        between = self.map_of((a.tail if a.count is not None else a.head) + b.head)
-        if between.count is None:
-            if a.count is None:
-                return ChunkMap(between.head, b.count, b.tail)
-            if b.count is None:
-                return ChunkMap(a.head, a.count, between.head)
-            return ChunkMap(a.head, a.count + self.run(between.head) + b.count, b.tail)
-        count = between.count
-        head, tail = between.head, between.tail
-        if a.count is not None:
-            head, count = a.head, count + a.count + self.run(between.head)
-        if b.count is not None:
-            count, tail = count + b.count + self.run(between.tail), b.tail
-        return ChunkMap(head, count, tail)
+        """The machine over a short text that is entered in the start state."""
+        return sum(1 if piece in self.special_set else sum(map(self.words.__getitem__, self.pretokens.findall(piece))) for piece in self._sections(text))
+
+    def whole(self, text: str) -> int:
+        """The same by its parts, most of which recur."""
+        first, *parts = between_resets(text)
+        return self.run(first) + sum(map(self.parts.__getitem__, parts))
+
+    def _cut(self, text: str, at: int, to: int) -> int | None:
+        """The last safe cut after ``at`` up to ``to``."""
+        for start in (max(at + 1, to - 256), at + 1):
+            found = None
+            for found in self.safe.finditer(text, start, to):
+                pass
+            if found is not None:
+                return found.start()
+        return None
+
+    def maps(self, text: str) -> Iterator[ChunkMap]:
+        """The state maps of a text's chunks, one after the other."""
+        for section in self._sections(text):
+            if section in self.special_set:
+                yield ChunkMap(lambda entry: (START, 1), [START])
+                continue
+            at = 0
+            while at < len(section):
+                to = len(section) if len(section) - at <= CHUNK else self._cut(section, at, at + CHUNK)
+                if to is not None:
+                    n = self.whole(section[at:to])
+                    yield ChunkMap(lambda entry, n=n: (START, n), [START])
+                else:  # up to three pretokens, one of them longer than a chunk
+                    later = self.safe.search(section, at + CHUNK)
+                    to = later.start() if later else len(section)
+                    for pretoken in self.pretokens.finditer(section[at:to]):
+                        data = pretoken[0].encode("utf-8")
+                        for i in range(0, len(data), CHUNK):
+                            yield inside(self.machine, data[i : i + CHUNK], data[max(0, i - BEFORE) : i], i + CHUNK >= len(data))
+                at = to
 
     def __call__(self, text: str) -> int:
         if len(text) <= CHUNK:
-            if not loose(text):
-                first, *parts = text.split(" ")
-                return self.run(first) + sum(map(self.parts.__getitem__, parts))  # every space is a reset
-            maps = [self.map_of(text)]
-        else:
-            maps = scan([self.map_of(text[i : i + CHUNK]) for i in range(0, len(text), CHUNK)], self.then)
-        whole = maps[-1]
-        return self.run(whole.head) if whole.count is None else self.run(whole.head) + whole.count + self.run(whole.tail)
+            return self.whole(text)
+        return reduced(self.maps(text), ChunkMap.then).after(START)[1]
 
 
 _COUNTERS: dict[int, Counter] = {}
@@ -234,24 +290,20 @@ def counter(definition: str) -> Counter:
     return _COUNTERS[key]
 
 
-def token_count(docs: DataFrame, text: Column, definition: str) -> Column:
-    """Tokens of each text as a long; 0 for null and empty texts."""
-    shared = docs.sparkSession.sparkContext.broadcast(definition)
-
-    @F.pandas_udf("long")
-    def of(texts: pd.Series) -> pd.Series:
-        count = counter(shared.value)
-        return pd.Series([count(t) if t else 0 for t in texts], dtype="int64")
-
-    return of(text)
-
-
 def token_counts(docs: DataFrame, definition: str, text: str = "text", key: str = "doc_id", limit: int = 512) -> DataFrame:
     """Per row of ``docs``: key, n_bytes (UTF-8), n_tokens and over_limit (more than ``limit`` tokens).
 
     Null texts count as empty. Repeated rows and null keys give a row each; an empty table gives none. Extra columns
     are not read.
     """
-    whole = F.coalesce(F.col(text), F.lit(""))
-    counted = docs.select(F.col(key), F.octet_length(whole).cast("long").alias("n_bytes"), token_count(docs, whole, definition).alias("n_tokens"))
-    return counted.withColumn("over_limit", F.col("n_tokens") > limit)
+    whole = F.coalesce(named(text), F.lit(""))
+    schema = T.StructType([T.StructField("__key", docs.schema[key].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
+    shared = docs.sparkSession.sparkContext.broadcast(definition)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = counter(shared.value)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([count(t.as_py()) for t in batch.column(2)], pa.int64())], names=schema.names)
+
+    counted = docs.select(named(key), F.octet_length(whole).cast("long").alias("__n"), whole.alias("__text")).mapInArrow(run, schema)
+    return counted.select(F.col("__key").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

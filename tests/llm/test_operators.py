@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from docengine.llm import components, language, line_rules, mixing, packing, pii, pivots, quality_fm, simhash, tokens, url_filter
-from docengine.llm.common import draw, fold_of, table, word_count
+from docengine.llm.common import draw, fold_of, fresh, salted_join, table, word_count
 from docengine.llm.queries import QUERIES, definition
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -42,10 +42,10 @@ def empty(spark):
 
 
 def clashing(df):
-    """Columns of the names that operators add."""
-    for c in ("size", "taken", "target", "piece", "fp", "kept", "component_id", "score", "n_words", "rank", "count"):
-        df = df.withColumn(c, F.lit("theirs"))
-    return df
+    """Columns of the names that operators add, or use inside."""
+    plain = "size taken target piece fp kept component_id score n_words rank count text_ root key row lang_ found new copies rate source_size copy salt other_salt cleaned chosen own lettered chars start length host path trust"
+    inner = "key kept row root own size source source_size target rate copies copy salt other_salt found new pii count lang score text lettered chars n n_words word_chars cleaned fp"
+    return df.select("*", *[F.lit("theirs").alias(c) for c in [*plain.split(), *(f"__{c}" for c in inner.split())]])
 
 
 # ----------------------------------------------------------------------------------------------------------------- mixing
@@ -123,6 +123,7 @@ def luhn(s: str) -> bool:
 
 
 def replaced(spark, texts, **how):
+    how = {"key": "test"} | how
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string")
     return [r.text for r in pii.pseudonymised(df, **how).orderBy("doc_id").collect()]
 
@@ -144,6 +145,7 @@ def test_op2_formats_validity_and_links(spark):
     assert got[15] == f"{got[0]} {got[0]}"
     assert "555-4081" not in got[16] and "190.137.223.204" not in got[16]
     assert replaced(spark, texts[:1], key="other") != got[:1]
+    assert replaced(spark, texts[:1], key=None) != replaced(spark, texts[:1], key=None)  # no setting: a key that nobody keeps
 
 
 def test_op2_numbers_beside_other_numbers(spark):
@@ -159,7 +161,7 @@ def test_op2_numbers_beside_other_numbers(spark):
 
 def test_op2_is_a_permutation(spark):
     days = spark.range(73049).select(F.col("id").alias("doc_id"), F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")).cast("string").alias("text"))
-    got = pii.pseudonymised(days).agg(F.countDistinct("text").alias("n"), F.min("text").alias("lo"), F.max("text").alias("hi")).first()
+    got = pii.pseudonymised(days, key="test").agg(F.countDistinct("text").alias("n"), F.min("text").alias("lo"), F.max("text").alias("hi")).first()
     assert (got.n, got.lo, got.hi) == (73049, "1900-01-01", "2099-12-31")
     codes = spark.range(20000).select(F.col("id").alias("doc_id"), F.concat(F.lit("+49 30 "), F.lpad(F.col("id").cast("string"), 5, "0")).alias("text"))
     assert pii.pseudonymised(codes).select("text").distinct().count() == 20000
@@ -170,31 +172,31 @@ def test_op2_leaves_clean_text_and_edges(spark, edge, sf):
     assert replaced(spark, clean) == clean
     extra = clashing(edge)
     got = pii.pseudonymised(extra)
-    assert got.drop("__pii").columns == extra.columns and got.count() == 9
+    assert got.columns == extra.columns and got.count() == 9 and got.where("__found != 'theirs' or __new != 'theirs' or __pii != 'theirs'").count() == 0
+    assert pii.pseudonymised(extra, count="replaced").columns == [*extra.columns, "replaced"]
     assert pii.pseudonymised(empty(spark)).count() == 0
     plan = pii.pseudonymised(table(spark, sf, "documents"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
 
 # --------------------------------------------------------------------------------------------------------------- language
-def plain_ppm(train: dict[str, list[bytes]], model: language.Model, text: bytes) -> list[float]:
+def plain_ppm(train: dict[str, list[bytes]], text: bytes) -> list[float]:
     """Code lengths by walking the context trees one byte at a time."""
-    sym = lambda b: int(model.symbol[b])
     out = []
     for own in train.values():
         seen = [defaultdict(Counter) for _ in range(4)]
         for t in own:
-            s = [sym(b) for b in language.START + t.lower()]
+            s = language.START + t.lower()
             for i in range(3, len(s)):
                 for k in range(4):
-                    seen[k][tuple(s[i - k : i])][s[i]] += 1
-        bits, s = 0.0, [sym(b) for b in language.START + text.lower()]
+                    seen[k][s[i - k : i]][s[i]] += 1
+        bits, s = 0.0, language.START + text.lower()
         for i in range(3, len(s)):
             for k in (3, 2, 1, 0, -1):
                 if k < 0:
-                    bits += language.BITS
+                    bits += 8
                     break
-                counts = seen[k].get(tuple(s[i - k : i]))
+                counts = seen[k].get(s[i - k : i])
                 if counts is None:
                     continue
                 total, different = sum(counts.values()), len(counts)
@@ -202,28 +204,52 @@ def plain_ppm(train: dict[str, list[bytes]], model: language.Model, text: bytes)
                     bits -= np.log2(counts[s[i]] / (total + different))
                     break
                 bits -= np.log2(different / (total + different))
-            bits += model.other_bits * (s[i] == 0)
         out.append(bits)
     return out
 
 
-def test_op3_code_lengths_are_exact(spark, sf):
+@pytest.mark.parametrize("whole", [1 << 22, 0])
+def test_op3_code_lengths_are_exact(spark, sf, monkeypatch, whole):
+    monkeypatch.setattr(language, "WHOLE", whole)
     docs = table(spark, sf, "documents").toPandas()
     train = {lang: [t.encode() for t in docs.text[docs.lang == lang][:5]] for lang in ("de", "en", "fr")}
-    model = language.train(train)
-    scorer = language.Scorer(model)
+    scorer = language.Scorer(language.train(train))
     texts = [t.encode()[:300] for t in docs.text[60:70]] + [b"", b"a", "漢字 \x00".encode()]
     got = scorer.bits(texts)
     for t, bits in zip(texts, got):
-        assert bits == pytest.approx(plain_ppm(train, model, t), rel=1e-9)
+        assert bits == pytest.approx(plain_ppm(train, t), rel=1e-5)
 
 
 def test_op3_blocks_do_not_matter(monkeypatch):
     model = language.train({"x": [b"abc abc abd"], "y": [b"xyz xyz"]})
-    text = b"abc xyz " * 50
+    text = b"abc xyz " * 5000
     whole = language.Scorer(model).bits([text, b"q"])
-    monkeypatch.setattr(language, "BLOCK", 7)
-    assert language.Scorer(model).bits([text, b"q"]) == pytest.approx(whole)
+    scorer = language.Scorer(model)
+    scorer.block = 7
+    assert scorer.bits([text, b"q"]) == pytest.approx(whole)
+
+
+def test_op3_scripts_and_a_hundred_languages():
+    rng = random.Random(8)
+    letters = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзийклмнопрстуфхцчшщ", "arabic": "ابتثجحخدذرزسشصضطظعغفقكلمن", "cjk": "".join(map(chr, range(0x4E00, 0x4E1A)))}
+
+    def tongue(script, seed):
+        own = random.Random(seed)
+        words = ["".join(own.choice(letters[script]) for _ in range(own.randrange(2, 6))) for _ in range(150)]
+        return lambda n: " ".join(rng.choice(words) for _ in range(n)).encode()
+
+    tongues = {f"{script}{i}": tongue(script, f"{script}{i}") for script in letters for i in range(25)}
+    model = language.train({name: [say(200) for _ in range(4)] for name, say in tongues.items()})
+    assert len(model.languages) == 100 and model.nbytes < 100 << 20
+    names, score = language.Scorer(model).predict([say(12) for say in tongues.values()])
+    assert np.mean([a == b for a, b in zip(names, tongues)]) > 0.97 and ((score >= 0) & (score <= 1)).all()
+
+
+def test_op3_learns_from_long_texts_and_bounds_the_sample(spark):
+    docs = make(spark, [(i, "hello there my friend " * 30_000, "en", "a", 1) for i in range(2)] + [(9, "bonjour mon ami " * 3, "fr", "a", 1)] * 500)
+    got = language.sample(docs, F.lit(True), "text", "lang", 400, 1000, 1 << 20, 8)
+    assert set(got) <= {"en", "fr"} and all(len(t) <= 1000 for own in got.values() for t in own) and all(len(own) <= 2 for own in got.values())
+    assert len(language.sample(docs, F.lit(True), "text", "lang", 10**6, 1000, 1 << 30, 1)) == 1
 
 
 def test_op3_held_out_accuracy_and_edges(spark, edge):
@@ -232,7 +258,7 @@ def test_op3_held_out_accuracy_and_edges(spark, edge):
     assert len(got) > 100 and (got.lang == got.lang_pred).mean() > 0.97 and got.score.between(0, 1).all()
     model = language.train({"en": [b"the text"], "fr": [b"le texte"]})
     out = {r.doc_id: r for r in language.predictions(clashing(edge), model).collect()}
-    assert out[2]["__lang"] == out[3]["__lang"] == out[4]["__lang"] == "und" and out[5]["__lang"] in ("en", "fr")
+    assert out[2]["___lang"] == out[3]["___lang"] == out[4]["___lang"] == "und" and out[5]["___lang"] in ("en", "fr")  # the table has __lang
     assert language.identify(empty(spark), F.lit(True)).count() == 0
     assert {r["__lang"] for r in language.identify(edge, F.lit(False)).collect()} == {"und"}
 
@@ -257,7 +283,7 @@ def test_op4_held_out_and_edges(spark, edge):
     labels = make(spark, [(1, 1, 0), (3, 0, 0), (5, 1, 0), (None, 1, 1), (4, None, 0)], "doc_id long, quality int, toxic int")
     machine = quality_fm.train(edge, labels, F.lit(True))
     scored = quality_fm.scored(clashing(edge), machine)
-    assert scored.count() == 9 and scored.where("__score is null or __score < 0 or __score > 1").count() == 0
+    assert scored.count() == 9 and scored.where("___score is null or ___score < 0 or ___score > 1").count() == 0
     assert quality_fm.train(empty(spark), labels, F.lit(True)) is None and quality_fm.scored(empty(spark), None).count() == 0
     assert quality_fm.scored(edge.drop("n_chars"), machine).count() == 9
 
@@ -292,7 +318,7 @@ def test_op5_rules(spark, edge):
     assert kept[6] and kept[8] == good
     assert not line_rules.judge(good + "\n" + nav * 4)[6] and not line_rules.judge("Too short.")[6] and not line_rules.judge(None)[6]
     out = line_rules.judged(clashing(edge))
-    assert out.count() == 9 and out.where("doc_id = 2").first()["__n_words"] == 0 and out.where("doc_id = 5").first()["__base_failed"]
+    assert out.count() == 9 and out.where("doc_id = 2").first()["___n_words"] == 0 and out.where("doc_id = 5").first()["___base_failed"]
     assert line_rules.judged(empty(spark)).count() == 0
 
 
@@ -345,7 +371,7 @@ def test_op6_whole_table(spark, sf):
     assert {d: r.component_id for d, r in got.items()} == plain_components(pairs, fp)
 
 
-@pytest.mark.parametrize("hot", [64, 1])
+@pytest.mark.parametrize("hot", [64, 8, 1])
 def test_op6_links_lose_nothing(spark, monkeypatch, hot):
     monkeypatch.setattr(simhash, "HOT", hot)
     rng = random.Random(4)
@@ -354,6 +380,7 @@ def test_op6_links_lose_nothing(spark, monkeypatch, hot):
         fps.update(f ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for _ in range(4))
     base = rng.getrandbits(64)
     fps |= {base ^ (1 << i) for i in range(40)} | {0, (1 << 64) - 1, 1 << 63}
+    fps |= {base & ((1 << 26) - 1) | rng.getrandbits(38) << 26 for _ in range(90)}  # a hot key of strangers
     signed = sorted(f - (1 << 64) if f >> 63 else f for f in fps)
     got = components.components(simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long")))
     roots = {r.node: r.root for r in got.collect()}
@@ -374,6 +401,19 @@ def test_op6_edges_and_keep_one(spark, edge):
     assert simhash.near_duplicates(empty(spark)).count() == 0 and simhash.keep_one(empty(spark)).count() == 0
 
 
+def test_salted_join(spark):
+    many = spark.range(4000).select(F.when(F.col("id") % 2 == 0, 7).when(F.col("id") % 10 == 1, None).otherwise(F.col("id")).alias("k"), "id")
+    few = spark.range(3000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("x"))
+    for how in ("inner", "left"):
+        want = sorted(map(str, many.join(few, "k", how).collect()))
+        for bound in (0, 10**6):
+            assert sorted(map(str, salted_join(many, few, "k", how, bound).collect())) == want
+
+
+def test_fresh_names():
+    assert fresh(["a", "__B"], "b", "c") == ["___b", "___c"] and fresh([], "b") == ["__b"]
+
+
 def test_components_of_chains_and_stars(spark):
     chain = [(i, i + 1) for i in range(200)] + [(1000, i) for i in range(1001, 1100)] + [(5000, 5000), (None, 3)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(chain, "a long, b long")).collect()}
@@ -392,7 +432,8 @@ def test_op7_parts_and_rules(spark):
     assert [got[i].verdict for i in (0, 1, 2, 3, 8)] == ["allow", "allow", "block", "block", "block"] and got[5].verdict == "allow"
 
 
-def plain_rank(edges, seeds, damping=0.85, rounds=10):
+def plain_rank(edges, seeds, damping=0.85, rounds=300):
+    """Power iteration, with what hosts without edges hold going back to the seeds."""
     total = sum(seeds.values())
     start = {h: w / total for h, w in seeds.items()}
     out, rank = defaultdict(dict), dict(start)
@@ -404,7 +445,7 @@ def plain_rank(edges, seeds, damping=0.85, rounds=10):
             for to, n in out[h].items():
                 moved[to] += damping * r * n / sum(out[h].values())
         back = 1 - sum(moved.values())
-        rank = {h: round(start.get(h, 0) * back + moved.get(h, 0), 12) for h in start.keys() | moved.keys()}
+        rank = {h: start.get(h, 0) * back + moved.get(h, 0) for h in start.keys() | moved.keys()}
     return rank
 
 
@@ -420,12 +461,31 @@ def test_op7_propagation(spark):
     trust = plain_rank(edges, {"good.example.com": 1})
     distrust = plain_rank({(b, x): n for (x, b), n in edges.items()}, {"bad.com": 1, "blog.good.org": 1})
     for r in got.values():
-        assert r.trust == pytest.approx(trust.get(r.host, 0), abs=1e-9) and r.distrust == pytest.approx(distrust.get(r.host, 0), abs=1e-9)
+        assert r.trust == pytest.approx(trust.get(r.host, 0), rel=0.05) and r.distrust == pytest.approx(distrust.get(r.host, 0), rel=0.05)
     assert [got[i].verdict for i in (3, 4, 5, 6)] == ["block", "allow", "allow", "block"]
     none = url_filter.verdicts(spark.createDataFrame([], "page_id long, url string, html string"))
     assert none.count() == 0
 
 
+def test_op7_reaches_hosts_far_away_with_tiny_ranks(spark):
+    """A rule's host, 14 hosts in a row, the last steps shared with very many others: what is reached is judged, however small."""
+    a = '<a class="' + "x" * 5000 + '" href="http://{}/">x</a>'
+    rows = [(0, "http://bad.com/en/1", a.format("h0.test"))] + [(i + 1, f"http://h{i}.test/", a.format(f"h{i + 1}.test") + "".join(a.format(f"side{i}x{k}.test") for k in range(3))) for i in range(14)]
+    rows += [(100, "http://good.example.com/en/7", a.format("friend.test"))] + [(200 + i, f"http://q{i}.test/", a.format(f"h{i}.test")) for i in range(3)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    edges = url_filter.host_edges(pages.select(url_filter.host_of(F.col("url")).alias("__host"), F.col("html").alias("__html")), "__html")
+    seeds = spark.createDataFrame([("trust", "bad.com", 1), ("trust", "other.test", 10**11)], "kind string, host string, weight long")
+    rank = {r.host: r["rank"] for r in url_filter.propagated(edges.withColumn("kind", F.lit("trust")), seeds).collect()}
+    assert 0 < rank["h14.test"] < 1e-15 and rank["h14.test"] == pytest.approx(rank["h0.test"] * (0.85 / 4) ** 14, rel=0.02)
+
+
+def test_op7_a_hot_host(spark, monkeypatch):
+    pages = spark.createDataFrame([(i, "http://hot.com/en/" if i % 3 else f"http://h{i}.com/x", '<a href="http://h3.com/">') for i in range(3000)], "page_id long, url string, html string")
+    one = sorted(map(str, url_filter.verdicts(pages).collect()))
+    monkeypatch.setattr(url_filter, "salted_join", lambda *a: salted_join(*a, broadcast_rows=0))
+    assert sorted(map(str, url_filter.verdicts(pages).collect())) == one
+
+
 # ---------------------------------------------------------------------------------------------------------------- packing
 @pytest.fixture(scope="module")
 def tokenizer():
@@ -448,6 +508,25 @@ def test_op8_ids_are_the_tokenizers(tokenizer):
         assert np.frombuffer(encode(t), "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+@pytest.mark.parametrize("make_text", [
+    lambda n: "a" + " " * n + "b", lambda n: "a" + "\n" * n + "<|endoftext|> " + " \n" * 3000 + "b", lambda n: "x" + "\t" * n, lambda n: " " * n,
+    lambda n: "".join(random.Random(1).choices("abcdefghij", k=n)), lambda n: "".join(map(chr, random.Random(2).choices(range(0x4E00, 0x6000), k=n))),
+], ids=["spaces", "newlines", "tabs", "only", "letters", "cjk"])
+def test_op8_op10_texts_without_a_break(tokenizer, make_text):
+    text = make_text(1_000_001)
+    ids = tokenizer.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(packing.Encoder(definition())(text), "<u4").tolist() == ids
+    assert tokens.Counter(definition())(text) == len(ids)
+
+
+def test_op8_equal_rows_are_dealt_out(spark):
+    same = make(spark, [(None, None, None, None, None)] * 5000).repartition(4)
+    got = packing.pack(same, definition()).toPandas()
+    assert len(got) == 5000 and not got.duplicated(["sequence_id", "offset"]).any() and got.sequence_id.nunique() == 5
+    ranked = packing.ranked(packing.pieces(same, definition()).select("*").checkpoint(), "doc_id", {1: 5000})
+    assert sorted(r["__rank"] for r in ranked.select("__rank").collect()) == list(range(5000))
+
+
 def test_op8_pieces_and_sequences(spark, sf, tokenizer):
     docs = table(spark, sf, "documents")
     got = packing.pack(docs, definition(), ids=True).toPandas()
@@ -549,16 +628,33 @@ def test_op10_counts_are_the_tokenizers(tokenizer):
 
 def test_op10_chunk_maps_compose(monkeypatch):
     count = tokens.Counter(definition())
-    texts = odd_texts(400) + ["a" * 3000, "<|endoftext|>" * 9]
+    texts = odd_texts(400) + ["a" * 3000, "<|endoftext|>" * 9, "(" * 90 + "a" * 300 + "'s'sx" * 20]
     whole = [count(t) for t in texts]
     for size in (1, 5, 13):
         monkeypatch.setattr(tokens, "CHUNK", size)
         assert [count(t) for t in texts] == whole
 
 
-def test_op10_scan():
-    assert tokens.scan([1, 2, 3, 4, 5, 6, 7], lambda a, b: a + b) == [1, 3, 6, 10, 15, 21, 28]
-    assert tokens.scan(["a"], str.__add__) == ["a"] and tokens.scan([], str.__add__) == []
+def test_op10_scan_keeps_the_order():
+    for n in range(1, 40):
+        assert tokens.reduced(map(str, range(n)), str.__add__) == "".join(map(str, range(n)))
+    assert tokens.reduced([], str.__add__) is None
+
+
+def test_op10_maps_take_any_entry_state(monkeypatch):
+    """A chunk inside a pretoken gives what the machine gives from every state in which it may be entered."""
+    machine = tokens.Machine(definition())
+    rng = random.Random(6)
+    for letters in ("ab", "aaaaaaab", "thequickbrown"):
+        word = "".join(rng.choice(letters) for _ in range(3000)).encode()
+        chunk = tokens.inside(machine, word[1000:2000], word[936:1000], False)
+        for start in range(900, 1000, 7):
+            entry = machine.run(word[start:1000])[0]
+            assert chunk.after(entry) == machine.run(word[1000:2000], entry)
+    monkeypatch.setattr(tokens, "MOST_STATES", 30)
+    state, n = machine.run(word)
+    monkeypatch.setattr(tokens, "MOST_STATES", 1 << 16)
+    assert (state, n) == machine.run(word)
 
 
 def test_op10_machine_forgets_and_goes_on(monkeypatch):
