@@ -7,7 +7,7 @@ from collections import Counter
 from collections.abc import Iterable
 from functools import lru_cache
 from hashlib import blake2b
-from itertools import accumulate
+from itertools import accumulate, pairwise
 
 import numpy as np
 
@@ -86,30 +86,17 @@ def chunk_text(text: str, size: int, overlap: int) -> list[str]:
 
 
 def markdown_sections(text: str) -> list[tuple[str, str | None]]:
-    """(body, heading path) of the sections between headings; fenced blocks are body."""
-    out: list[tuple[str, str | None]] = []
-    path: dict[int, str] = {}
-    body: list[str] = []
-    fenced = False
-
-    def close() -> None:
-        if said := "\n".join(body).strip():
-            out.append((said, " > ".join(path[k] for k in sorted(path)) or None))
-        body.clear()
-
-    for line in text.splitlines():
-        if _FENCE.match(line):
-            fenced = not fenced
-        elif not fenced and (m := _ATX.match(line)):
-            close()
-            level = len(m[1])
-            for deeper in [k for k in path if k >= level]:
-                del path[deeper]
-            path[level] = m[2].strip()
-            continue
-        body.append(line)
-    close()
-    return out
+    """(body, heading path) of what stands before the first heading and after each; lines between fences are no headings.
+
+    The headings are found first. The path of each is that of the one before it, less what is as deep or deeper.
+    """
+    lines = text.splitlines()
+    fences = accumulate(_FENCE.match(x) is not None for x in lines)
+    heads = [(i, len(m[1]), m[2].strip()) for i, (x, n) in enumerate(zip(lines, fences)) if n % 2 == 0 and (m := _ATX.match(x))]
+    paths = accumulate(heads, lambda above, head: [*(x for x in above if x[1] < head[1]), head], initial=[])
+    edges = pairwise([-1, *(i for i, _, _ in heads), len(lines)])
+    bodies = ("\n".join(lines[before + 1 : after]).strip() for before, after in edges)
+    return [(body, " > ".join(said for _, _, said in path) or None) for body, path in zip(bodies, paths) if body]
 
 
 def root_heading(found: list[tuple[str, str | None]]) -> str | None:

@@ -10,13 +10,19 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
+from ..store import materialised
 
 #: Up to so many questions of one batch are sent to the executors as one matrix.
 QUERY_BLOCK = 4096
+SCORE_UNITS = 1 << 40
+#: Vectors of more numbers than this are compared by products of matrices.
+FEW_NUMBERS = 32
 
 
 def beside(queries: DataFrame, *derived: DataFrame) -> list[DataFrame]:
@@ -40,19 +46,36 @@ class KeywordIndex(NamedTuple):
 def keyword_index(chunks: DataFrame, text: Column | None = None) -> KeywordIndex:
     """Postings, document frequencies and corpus figures of chunks (collection, chunk_id, doc_name, idx, ...).
 
-    Chunks without tokens count as documents. Term counts are aggregated where the chunk is read, before any shuffle;
-    all other figures come from the postings, so texts are tokenised once where the postings are kept.
+    Chunks without tokens count as documents. A chunk's tokens stand in one row, so they are sorted and counted there and
+    postings need no shuffle; the other figures are counted before they are shuffled.
     """
     said = X.search_text(F.col("heading"), F.col("text")) if text is None else text
-    toks = chunks.select("collection", "chunk_id", "doc_name", "idx", X.tokenize(said).alias("tokens")).withColumn("dl", F.size("tokens"))
-    split = toks.select("collection", "chunk_id", "doc_name", "idx", "dl", each("tokens").alias("term")).where("term is not null")
-    postings = split.groupBy("collection", "chunk_id", "doc_name", "idx", "dl", "term").agg(F.count("*").alias("tf"))
+    toks = chunks.select("collection", "chunk_id", "doc_name", "idx", F.sort_array(X.tokenize(said)).alias("tokens")).withColumn("dl", F.size("tokens"))
+    runs = toks.select("collection", "chunk_id", "doc_name", "idx", "dl", each(run_lengths("tokens")).alias("run")).where("run is not null")
+    postings = runs.select("collection", "chunk_id", "doc_name", "idx", "dl", "run.term", "run.tf")
+    return of_postings(chunks, postings)
+
+
+def of_postings(chunks: DataFrame, postings: DataFrame) -> KeywordIndex:
     terms = postings.groupBy("collection", "term").agg(F.count("*").alias("df"))
     sums = postings.groupBy("collection").agg(F.sum("tf").alias("all"))
     figures = chunks.groupBy("collection").agg(F.count("*").alias("n")).join(sums, "collection", "left").select("collection", "n", (F.coalesce("all", F.lit(0)) / F.col("n")).alias("avgdl"))
     return KeywordIndex(postings, terms, figures)
 
 
+def kept_index(chunks: DataFrame, text: Column | None = None) -> KeywordIndex:
+    """The same with its postings written once below the session's shared folder, for searches that read them again."""
+    return of_postings(chunks, materialised(keyword_index(chunks, text).postings))
+
+
+def run_lengths(tokens: str) -> Column:
+    """The different elements of a sorted array with how often each stands there, as structs (term, tf)."""
+    t = F.col(tokens)
+    starts = F.filter(F.sequence(F.lit(1), F.size(t)), lambda i: (i == 1) | (F.get(t, i - 1) != F.get(t, i - 2)))
+    counted = X.let(starts, lambda at: F.transform(at, lambda i, k: F.struct(F.get(t, i - 1).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(t) + 1) - i).cast("long").alias("tf"))))
+    return F.when(F.size(t) > 0, counted)
+
+
 def each(array: str | Column) -> Column:
     """The elements of an array, null for an empty one.
 
@@ -69,19 +92,18 @@ def idf(n: Column, df: Column) -> Column:
 def keyword_search(queries: DataFrame, index: KeywordIndex, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(query_id, chunk_id, score, rank) of the k best chunks of each question with a positive score.
 
-    A token said twice counts twice. Ties go by document name and place in it. Contributions are added in the order of
-    the question's tokens, so scores don't depend on the order of rows.
+    A token said twice counts twice. Ties go by document name and place in it. Contributions are added as whole multiples
+    of 2 ** -40, so scores don't depend on the order of rows and are summed before they are shuffled.
     """
-    asked = queries.select("query_id", "collection", F.posexplode(X.tokenize(F.col("question"))).alias("at", "term"))
+    asked = queries.select("query_id", "collection", F.explode(X.tokenize(F.col("question"))).alias("term")).groupBy("query_id", "collection", "term").agg(F.count("*").alias("times"))
     (asked,) = beside(queries, asked)
     weighed = index.terms.join(asked, ["collection", "term"]).join(index.collections, "collection")
     (weighed,) = beside(queries, weighed)
     met = index.postings.join(weighed, ["collection", "term"])
     tf = F.col("tf")
     part = idf(F.col("n"), F.col("df")) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    parts = F.array_sort(F.collect_list(F.struct("at", part.alias("part"))))
-    total = F.aggregate(parts, F.lit(0.0), lambda a, x: a + x["part"])
-    scored = met.groupBy("query_id", "chunk_id", "doc_name", "idx").agg(total.alias("score")).where("score > 0")
+    units = F.sum(F.round(part * F.col("times") * SCORE_UNITS).cast("long"))
+    scored = met.groupBy("query_id", "chunk_id", "doc_name", "idx").agg((units / F.lit(float(SCORE_UNITS))).alias("score")).where("score > 0")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_name", "idx", "chunk_id")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "chunk_id", "score", "rank")
 
@@ -109,10 +131,11 @@ def vector_search(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """(query_id, chunk_id, score, rank) of the k nearest chunks of each question, exactly; ties go by chunk id.
 
     There is no least similarity. Questions are broadcast to the chunks, and Spark cuts each task's rows to k for each
-    question before it shuffles them. More questions than QUERY_BLOCK go by blocks.
+    question before it shuffles them. More questions than QUERY_BLOCK, and long vectors, go by blocks.
     """
     q = queries.select("query_id", "collection", "q_embedding")
-    if q.limit(QUERY_BLOCK + 1).count() > QUERY_BLOCK:
+    figures = q.limit(QUERY_BLOCK + 1).agg(F.count("*").alias("n"), F.max(F.size("q_embedding")).alias("dim")).first()
+    if figures.n > QUERY_BLOCK or (figures.dim or 0) > FEW_NUMBERS:
         return vector_search_blocks(queries, chunks, k)
     # Lengths are computed before the vectors meet, once for each.
     asked = q.withColumn("_q_norm", norm(F.col("q_embedding")))
@@ -136,25 +159,34 @@ def vector_search_blocks(queries: DataFrame, chunks: DataFrame, k: int) -> DataF
         by: dict[str, list] = {}
         for r in some:
             by.setdefault(r.collection, []).append(r)
+        query_type, chunk_type = queries.schema["query_id"].dataType, chunks.schema["chunk_id"].dataType
         shared = chunks.sparkSession.sparkContext.broadcast({c: ([r.query_id for r in rs], _units(np.array([r.q_embedding for r in rs], float))) for c, rs in by.items()})
+        schema = T.StructType([T.StructField("query_id", query_type), T.StructField("chunk_id", chunk_type), T.StructField("score", T.DoubleType())])
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for name, own in batch.groupby("collection"):
-                    if name not in shared.value or own.empty:
-                        continue
+                names = np.array(batch.column(0).to_pylist(), object)
+                for name in set(names) & set(shared.value):
+                    own = np.flatnonzero(names == name)
                     ids, q = shared.value[name]
-                    have = np.stack(own.embedding.to_numpy()).astype(float)
-                    if have.shape[1] != q.shape[1]:
-                        raise ValueError(f"dimension mismatch: {have.shape[1]} and {q.shape[1]}")
-                    score = q @ _units(have).T
-                    chunk_ids = own.chunk_id.to_numpy()
+                    vectors = batch.column(2).take(pa.array(own))
+                    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(float)
+                    if len(flat) != len(own) * q.shape[1]:
+                        raise ValueError(f"dimension mismatch: {len(flat) / len(own):g} and {q.shape[1]}")
+                    chunk_ids = np.array(batch.column(1).take(pa.array(own)).to_pylist(), object)
+                    score = q @ _units(flat.reshape(len(own), -1)).T
+                    rows, places = [], []
                     for i, s in enumerate(score):
-                        top = np.lexsort((chunk_ids, -s))[:k]
-                        yield pd.DataFrame({"query_id": ids[i], "chunk_id": chunk_ids[top], "score": s[top]})
-
-        kind = dict(queries.dtypes)["query_id"], dict(chunks.dtypes)["chunk_id"]
-        return chunks.where(F.col("collection").isin(*by)).select("collection", "chunk_id", "embedding").mapInPandas(run, f"query_id {kind[0]}, chunk_id {kind[1]}, score double")
+                        least = np.partition(s, -k)[-k] if len(s) > k else -np.inf  # whatever ties with the k-th stays in
+                        some = np.flatnonzero(s >= least)
+                        top = some[np.lexsort((chunk_ids[some], -s[some]))[:k]]
+                        rows.append(np.full(len(top), i))
+                        places.append(top)
+                    row, place = np.concatenate(rows), np.concatenate(places)
+                    kinds = batch.schema.field(1).type
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in row]), pa.array(chunk_ids[place], kinds), pa.array(score[row, place])], names=schema.names)
+
+        return chunks.where(F.col("collection").isin(*by)).select("collection", "chunk_id", "embedding").mapInArrow(run, schema)
 
     for r in rows:
         block.append(r)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +16,7 @@ from ..operators import search as S
 from ..operators.chunk import ChunkingOptions, chunk_documents
 from ..operators.embed import embed
 from ..sources import dataset, files
-from ..store import ChunkStore
+from ..store import ChunkStore, shared_folder
 
 
 class UploadTooLarge(ValueError):
@@ -40,7 +40,7 @@ class Engine:
 
     def __post_init__(self) -> None:
         s = self.settings
-        self.store = self.store or ChunkStore(self.spark, s.store_path or tempfile.mkdtemp(prefix="docengine-"))
+        self.store = self.store or ChunkStore(self.spark, s.store_path or f"{shared_folder(self.spark)}/store-{uuid.uuid4().hex}")
         self.embedder = self.embedder or providers.embeddings(s)
         self.llm = self.llm or providers.llm(s)
         self.rerank = self.rerank or S.reranker(s.reranker)
@@ -48,7 +48,7 @@ class Engine:
 
     # ------------------------------------------------------------------------------------------------------------ ingest
     def ingest_files(self, collection: str, found: DataFrame, chunking: ChunkingOptions | None = None, strict: bool = True) -> DataFrame:
-        """Rows (name, content[, path]) parsed, chunked, embedded and stored; returns a report of a row for each document.
+        """Rows (name, content[, path]) parsed, chunked, embedded and stored; returns a report, which is kept in the store, of a row for each document.
 
         Documents replace those of the same name. Of several rows of one name the one with the greatest path counts.
         """
@@ -64,8 +64,10 @@ class Engine:
             self.store.replace(ids, vectors)
             counts = self.store.chunks(collection).groupBy("doc_id").agg(F.count("*").alias("chunks"))
             report = parsed.select(F.col("name").alias("document"), X.doc_id(F.col("collection"), F.col("name")).alias("doc_id"), "pages", "error_kind", "error").join(counts, "doc_id", "left")
-            rows = report.select("document", "doc_id", F.coalesce("chunks", F.lit(0)).alias("chunks"), "pages", "error_kind", "error").orderBy("document")
-            return self.spark.createDataFrame(rows.collect(), rows.schema)  # a row for each file that was given
+            rows = report.select("document", "doc_id", F.coalesce("chunks", F.lit(0)).alias("chunks"), "pages", "error_kind", "error")
+            folder = f"{self.store.path}/reports/{uuid.uuid4().hex}"
+            rows.write.parquet(folder)
+            return self.spark.read.schema(rows.schema).parquet(folder).orderBy("document")
         finally:
             parsed.unpersist()
 

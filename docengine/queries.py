@@ -171,8 +171,7 @@ def bm25_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _index(spark: SparkSession, sf_dir: str) -> S.KeywordIndex:
     """Built once for all parts of a query that search it."""
-    index = S.keyword_index(_chunks(spark, sf_dir))
-    return index._replace(postings=index.postings.persist())
+    return S.kept_index(_chunks(spark, sf_dir))
 
 
 def _keyword(spark: SparkSession, sf_dir: str, k: int = 20) -> DataFrame:
@@ -284,8 +283,7 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of retrieval: hashed embeddings, both searches, fusion and re-ranking."""
     chunks = _chunks(spark, sf_dir).withColumn("chunk_id", F.col("chunk_id").cast("string")).withColumn("embedding", hash_embed(F.col("text")))
     asked = _questions(spark, sf_dir).withColumn("q_embedding", hash_embed(F.col("question")))
-    index = S.keyword_index(chunks)
-    index = index._replace(postings=index.postings.persist())
+    index = S.kept_index(chunks.drop("embedding"))
     found = S.hybrid_search(asked, chunks, index, 5, 20, 60, "hybrid", S.overlap_rerank())
     return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "vector_rank", "keyword_rank", "rank")
 
@@ -368,7 +366,10 @@ def answer_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("query_id", *[F.round(c, 9).alias(c) for c in ("groundedness", "citation_coverage", "citation_precision", "answer_f1", "answer_recall")], "answered", F.array_join("retrieved_labels", ",").alias("retrieved"), F.array_join("cited_labels", ",").alias("cited"))
 
 
-_PAIRS = f"(SELECT d.doc_id, {_tokens('d.text')} AS p, {_tokens('b.text')} AS r FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark))"
+#: Documents and items are tokenised once each, then joined.
+_PAIRS = f"""it AS (SELECT item_id, {_tokens('text')} AS r, count(*) OVER () AS items FROM benchmark),
+dt AS (SELECT doc_id, {_tokens('text')} AS p FROM documents),
+pr AS (SELECT doc_id, p, r FROM dt JOIN (SELECT max(items) AS m FROM it) ON true JOIN it ON it.item_id = dt.doc_id % m)"""
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -377,14 +378,14 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "item_id", "text").join(items.withColumnRenamed("text", "reference"), "item_id")
 
 
-@query(f"""WITH pr AS (SELECT * FROM {_PAIRS}), pc AS (SELECT doc_id, t, count(*) AS n FROM (SELECT doc_id, unnest(p) AS t FROM pr) GROUP BY ALL), rc AS (SELECT doc_id, t, count(*) AS n FROM (SELECT doc_id, unnest(r) AS t FROM pr) GROUP BY ALL),
+@query(f"""WITH {_PAIRS}, pc AS (SELECT doc_id, t, count(*) AS n FROM (SELECT doc_id, unnest(p) AS t FROM pr) GROUP BY ALL), rc AS (SELECT doc_id, t, count(*) AS n FROM (SELECT doc_id, unnest(r) AS t FROM pr) GROUP BY ALL),
 same AS (SELECT doc_id, sum(least(pc.n, rc.n)) AS s FROM pc JOIN rc USING (doc_id, t) GROUP BY doc_id)
 SELECT doc_id, CASE WHEN s > 0 THEN round(2 * (s / len(p)) * (s / len(r)) / (s / len(p) + s / len(r)), 9) ELSE 0.0 END::DOUBLE AS f1 FROM pr LEFT JOIN same USING (doc_id)""")
 def token_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(spark, sf_dir).select("doc_id", F.round(F.coalesce(metrics.token_f1(F.col("text"), F.col("reference")), F.lit(0.0)), 9).alias("f1"))
 
 
-@query(f"SELECT doc_id, round(len(list_filter(r, lambda t: list_contains(p, t))) / len(r), 9) AS recall FROM {_PAIRS}")
+@query(f"WITH {_PAIRS} SELECT doc_id, round(len(list_filter(r, lambda t: list_contains(p, t))) / len(r), 9) AS recall FROM pr")
 def token_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(spark, sf_dir).select("doc_id", F.round(metrics.token_recall(F.col("text"), F.col("reference")), 9).alias("recall"))
 

@@ -1,14 +1,16 @@
-"""A chunk store of Parquet snapshots.
+"""A chunk store of Parquet deltas.
 
-Each collection is a folder of numbered versions that are never changed; a manifest names the current version of each.
-A write makes new versions of the collections it touches, then a new manifest, which appears under its number at once
-or not at all: a reader sees either the state before or the one after, and of two writers of the same number one
-fails. The version is the collection's revision. Files are reached through Hadoop's file systems, whatever they are.
+Each write adds a part to the collections it touches: a folder of new chunks, a folder of what it removes, or both. A
+manifest names the parts of each collection in order; it appears under its number at once or not at all, so a reader sees
+either the state before or the one after, and of two writers of the same number one fails. A chunk is there unless a later
+part removes its document or its id. The number of writes is the collection's revision. A collection of many parts is
+written anew as one. Files are reached through Hadoop's file systems, whatever they are.
 """
 
 from __future__ import annotations
 
 import json
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +21,29 @@ CHUNKS = (
 )
 
 
+NAMES = [c.split(" ")[0] for c in CHUNKS.split(", ")]
+GONE = "doc_id string, chunk_id string, part long"
+#: A collection of more parts than this is written anew as one.
+MOST_PARTS = 32
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in ``spark.checkpoint.dir``; a temporary one only on one machine without it."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("a folder that the driver and all executors share is needed: set spark.checkpoint.dir or the store's path")
+    return tempfile.mkdtemp(prefix="docengine-")
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """``df`` written once as Parquet below the shared folder, and read from there."""
+    folder = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 class DimensionMismatch(ValueError):
     pass
 
@@ -43,7 +68,7 @@ class ChunkStore:
         return sorted(int(s.getPath().getName()) for s in self._fs.listStatus(folder) if s.getPath().getName().isdigit())
 
     def manifest(self) -> tuple[int, dict[str, dict]]:
-        """Number and contents (collection: version, dimension, folder) of the current manifest."""
+        """Number and contents (collection: version, dimension, parts) of the current manifest."""
         numbers = self._numbers()
         if not numbers:
             return 0, {}
@@ -68,10 +93,21 @@ class ChunkStore:
     def chunks(self, *collections: str) -> DataFrame:
         """Chunks of the given collections, or of all: only their folders are read."""
         held = self.manifest()[1]
-        folders = [v["folder"] for c, v in sorted(held.items()) if not collections or c in collections]
+        return self._live([p for c, v in sorted(held.items()) if not collections or c in collections for p in v["parts"]])
+
+    def _live(self, parts: list[dict]) -> DataFrame:
+        """The chunks of parts that no later part of their collection removes. Removals are keyed by collection and id."""
+        folders = [f"{self.path}/{p['folder']}/chunks" for p in parts if p["chunks"]]
         if not folders:
             return self.spark.createDataFrame([], CHUNKS)
-        return self.spark.read.schema(CHUNKS).parquet(*[f"{self.path}/{f}" for f in folders])
+        found = self.spark.read.schema(f"{CHUNKS}, part long").parquet(*folders)
+        removed = [f"{self.path}/{p['folder']}/gone" for p in parts if p["gone"]]
+        if removed:
+            gone = self.spark.read.schema(f"collection string, {GONE}").parquet(*removed)
+            for key in ("doc_id", "chunk_id"):
+                last = gone.where(F.col(key).isNotNull()).groupBy("collection", key).agg(F.max("part").alias("until"))
+                found = found.join(last, ["collection", key], "left").where("until is null or part >= until").drop("until")
+        return found.select(*NAMES)
 
     def iter_chunks(self, collection: str) -> DataFrame:
         return self.chunks(collection).orderBy("doc_name", "idx")
@@ -81,30 +117,42 @@ class ChunkStore:
         return collection_stats(self.chunks()).withColumnRenamed("collection", "name").orderBy("name")
 
     # ---------------------------------------------------------------------------------------------------------- writing
-    def _write(self, touched: dict[str, DataFrame], number: int, held: dict[str, dict]) -> None:
+    def _write(self, touched: dict[str, tuple[DataFrame | None, DataFrame | None]], number: int, held: dict[str, dict]) -> None:
+        """Adds a part (new chunks, removed ids) to each collection, then the manifest."""
         new = dict(held)
-        for collection, rows in touched.items():
-            version = held.get(collection, {}).get("version", 0) + 1
-            folder = f"data/{collection}/{version:012d}-{uuid.uuid4().hex[:8]}"
-            rows.select(*[c.split(" ")[0] for c in CHUNKS.split(", ")]).write.parquet(f"{self.path}/{folder}")
-            figures = self.spark.read.schema(CHUNKS).parquet(f"{self.path}/{folder}").agg(F.min(F.size("embedding")).alias("lo"), F.max(F.size("embedding")).alias("hi")).first()
-            known = held.get(collection, {}).get("dim")
-            if figures.lo is not None and (figures.lo != figures.hi or known not in (None, figures.lo)):
-                raise DimensionMismatch(f"{collection}: vectors of {figures.lo} to {figures.hi} numbers, {known or 'none'} so far")
-            new[collection] = {"version": version, "dim": known or figures.lo, "folder": folder}
+        for collection, (rows, gone) in touched.items():
+            before = held.get(collection, {"version": 0, "dim": None, "parts": []})
+            version = before["version"] + 1
+            part = {"folder": f"data/{collection}/{version:012d}-{uuid.uuid4().hex[:8]}", "chunks": rows is not None, "gone": gone is not None}
+            dim = before["dim"]
+            if gone is not None:
+                gone.select(F.lit(collection).alias("collection"), "doc_id", "chunk_id", F.lit(version).cast("long").alias("part")).write.parquet(f"{self.path}/{part['folder']}/gone")
+            if rows is not None:
+                at = f"{self.path}/{part['folder']}/chunks"
+                rows.select(*NAMES, F.lit(version).cast("long").alias("part")).write.parquet(at)
+                figures = self.spark.read.schema(CHUNKS).parquet(at).agg(F.min(F.size("embedding")).alias("lo"), F.max(F.size("embedding")).alias("hi")).first()
+                if figures.lo is not None and (figures.lo != figures.hi or dim not in (None, figures.lo)):
+                    raise DimensionMismatch(f"{collection}: vectors of {figures.lo} to {figures.hi} numbers, {dim or 'none'} so far")
+                dim = dim or figures.lo
+            parts = [*before["parts"], part]
+            if len(parts) > MOST_PARTS:
+                whole = {"folder": f"data/{collection}/{version:012d}-{uuid.uuid4().hex[:8]}", "chunks": True, "gone": False}
+                self._live(parts).withColumn("part", F.lit(version).cast("long")).write.parquet(f"{self.path}/{whole['folder']}/chunks")
+                parts = [whole]
+            new[collection] = {"version": version, "dim": dim, "parts": parts}
         self._commit(number, new)
 
     def replace(self, documents: DataFrame, chunks: DataFrame) -> None:
         """All chunks of ``documents`` (collection, doc_id) give way to ``chunks``, which are theirs, in one step.
 
-        A document without new chunks is gone afterwards.
+        A document without new chunks is gone afterwards. Only these documents' rows are written.
         """
         number, held = self.manifest()
         gone = documents.select("collection", "doc_id").distinct()
         touched = {}
-        for c in [r.collection for r in gone.select("collection").distinct().collect()]:
-            own = chunks.where(F.col("collection") == c)
-            touched[c] = own.unionByName(self.chunks(c).join(gone, ["collection", "doc_id"], "left_anti")) if c in held else own
+        for c in [r.collection for r in gone.select("collection").distinct().collect()]:  # a row for each collection
+            own = gone.where(F.col("collection") == c).withColumn("chunk_id", F.lit(None).cast("string"))
+            touched[c] = chunks.where(F.col("collection") == c), own if c in held else None
         if touched:
             self._write(touched, number, held)
 
@@ -113,26 +161,24 @@ class ChunkStore:
         if not chunks.where(F.col("embedding").isNull()).isEmpty():
             raise ValueError("chunks without embeddings")
         number, held = self.manifest()
-        names = [r.collection for r in chunks.select("collection").distinct().collect()]
         touched = {}
-        for c in names:
+        for c in [r.collection for r in chunks.select("collection").distinct().collect()]:
             own = chunks.where(F.col("collection") == c)
-            touched[c] = self.chunks(c).join(own.select("chunk_id"), "chunk_id", "left_anti").unionByName(own) if c in held else own
+            touched[c] = own, own.select(F.lit(None).cast("string").alias("doc_id"), "chunk_id") if c in held else None
         if touched:
             self._write(touched, number, held)
 
     def delete_document(self, collection: str, doc_id: str) -> int:
         """How many chunks went; the revision changes only if any did."""
         number, held = self.manifest()
-        there = self.chunks(collection) if collection in held else None
-        n = there.where(F.col("doc_id") == doc_id).count() if there is not None else 0
+        n = self.chunks(collection).where(F.col("doc_id") == doc_id).count() if collection in held else 0
         if n:
-            self._write({collection: there.where(F.col("doc_id") != doc_id)}, number, held)
+            self._write({collection: (None, self.spark.createDataFrame([(doc_id, None)], "doc_id string, chunk_id string"))}, number, held)
         return n
 
     def vacuum(self) -> int:
         """Folders that the current manifest doesn't name are removed; only for times without readers."""
-        named = {f"{self.path}/{v['folder']}" for v in self.manifest()[1].values()}
+        named = {f"{self.path}/{p['folder']}" for v in self.manifest()[1].values() for p in v["parts"]}
         root, n = self._path(f"{self.path}/data"), 0
         for c in self._fs.listStatus(root) if self._fs.exists(root) else ():
             for v in self._fs.listStatus(c.getPath()):
