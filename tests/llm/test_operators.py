@@ -580,7 +580,34 @@ def test_op9_recall_at_the_threshold(spark):
     assert (got.n_links <= degree).all() and got.n_links.sum() >= 0.98 * degree.sum()
 
 
-@pytest.mark.parametrize("block", [1024, 16])
+@pytest.mark.parametrize("pivot_count", [44, 316, 1000, 2048])
+def test_op9_recall_by_number_of_pivots(pivot_count):
+    """The candidate rule alone, for pairs at cosine 0.901 among random vectors and pivots."""
+    rng = np.random.default_rng(pivot_count)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    x, y, p = (unit(rng.normal(size=(n, 64))) for n in (3000, 3000, pivot_count))
+    y = unit(y - (y * x).sum(1, keepdims=True) * x)
+    y = 0.901 * x + np.sqrt(1 - 0.901**2) * y
+    near = [np.argsort(-(v @ p.T), axis=1)[:, : pivots.nearest_for(pivot_count)] for v in (x, y)]
+    shared = (near[0][:, :, None] == near[1][:, None, :]).sum(axis=(1, 2))
+    print(pivot_count, (shared >= pivots.SHARED).mean())
+    assert (shared >= pivots.SHARED).mean() >= 0.98
+
+
+def test_op9_multiplies_only_pairs_that_share_two(monkeypatch):
+    rng = np.random.default_rng(4)
+    units = rng.normal(size=(600, 32))
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    near = np.sort(np.array([rng.permutation(200)[:8] for _ in range(600)]), axis=1).astype(np.int16)
+    pivot = int(near[0, 0])
+    own = (near == pivot).any(axis=1)
+    u, n = units[own], near[own]
+    hits = pivots._products(u, n, u, n, pivot, -2.0, 2)  # every product counts as a hit
+    later = ((n[:, None, :, None] == n[None, :, None, :]) & (n > pivot)[:, None, :, None]).any(axis=(2, 3))
+    assert (hits == later).all() and hits.sum() < 0.5 * hits.size
+
+
+@pytest.mark.parametrize("block", [2048, 16])
 def test_op9_groups_copies_and_edges(spark, monkeypatch, block):
     monkeypatch.setattr(pivots, "BLOCK", block)
     rng = np.random.default_rng(3)
