@@ -19,16 +19,24 @@ def _signature(edges: DataFrame) -> tuple:
     return row.n, row.h
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+#: Up to so many edges the table of least neighbours (two numbers a row) is broadcast, so edges aren't moved to meet it.
+BROADCAST_EDGES = 50_000
+
+
+def _beside(least: DataFrame, edges: int) -> DataFrame:
+    return F.broadcast(least) if edges <= BROADCAST_EDGES else least
+
+
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+    return both.join(_beside(least, n), "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = down.join(_beside(least, n), "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -41,7 +49,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     state = cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = _signature(state)
     while before[0]:
-        state = cut(_small_star(_large_star(state)), 2 * before[0])
+        state = cut(_small_star(_large_star(state, before[0]), before[0]), 2 * before[0])
         after = _signature(state)
         if after == before:
             break
