@@ -212,7 +212,7 @@ def sample(docs: DataFrame, learn: Column, text: str, lang: str, per_language: i
     pre-aggregated, so a third of all rows in one language, key or text changes nothing.
     """
     t = named(text)
-    width = F.greatest(F.lit(1), F.floor(F.length(t) * F.lit(most_bytes) / F.octet_length(t))).cast("int")
+    width = F.greatest(F.lit(1), F.floor(F.length(t).cast("double") * most_bytes / F.octet_length(t))).cast("int")
     begin = (F.pmod(F.xxhash64(t), F.greatest(F.lit(1), F.length(t) - width)) + 1).cast("int")
     part = F.when(F.octet_length(t) <= most_bytes, t).otherwise(F.substring(t, begin, width))
     rows = docs.where(learn & named(lang).isNotNull() & (F.octet_length(t) > 0)).select(part.alias("t"), named(lang).alias("l"))
