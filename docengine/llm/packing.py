@@ -105,10 +105,10 @@ class Encoder:
 class Remembered(dict):
     """What ``of`` gives for a key, remembered for short keys until MEMORY is full, then forgotten and begun again."""
 
-    def __init__(self, of: Callable, memory: int = MEMORY):
+    def __init__(self, of: Callable, memory: int = MEMORY, entry: int = ENTRY):
         super().__init__()
         self.of = of
-        self.most = memory // ENTRY
+        self.most = memory // entry
 
     def __missing__(self, key: str | int):
         out = self.of(key)

@@ -28,12 +28,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import named
-from .packing import MEMORY, Remembered, between_resets, byte_of_letter
+from .packing import Remembered, between_resets, byte_of_letter
 
 #: Characters of a chunk, or bytes where it lies inside one pretoken.
 CHUNK = 1 << 16
 #: States of the machine before it is begun anew (some 900 bytes each), looked at after every STRETCH bytes.
-MOST_STATES, STRETCH = 1 << 16, 1024
+MOST_STATES, STRETCH = 1 << 18, 1024
+#: Bytes of a worker's memory of counts, for words and for parts of texts, and of an entry of it.
+MEMORY_WORDS, MEMORY_PARTS, ENTRY = 32 << 20, 80 << 20, 160
 #: Bytes before a chunk from which the state at its start is guessed.
 BEFORE = 64
 BASE = 128
@@ -85,6 +87,7 @@ class Machine:
         self.states: list[tuple] = [START]
         self.number: dict[tuple, int] = {START: 0}
         self.table: dict[int, int] = {}
+        self.ends: dict[int, int] = {}
 
     def _number(self, state: tuple) -> int:
         at = self.number.get(state)
@@ -110,22 +113,29 @@ class Machine:
                     return False
         return True
 
-    def _compile(self, state: int, byte: int) -> int:
+    def _step(self, state: int, byte: int) -> tuple[int, int, list[tuple]]:
+        """The last token after a byte, the change of the number of tokens, and the places in the trie that are reached."""
         last, active = self.states[state]
-        reached = []
-        for node, before, count in (*active, (0, last, 0)):
-            step = self.child.get(node << 8 | byte)
-            if step is not None:
-                reached.append((step, before, count))
+        child = self.child
+        reached = [(step, before, count) for node, before, count in (*active, (0, last, 0)) if (step := child.get(node << 8 | byte)) is not None]
         for node, before, count in reached:  # the longest entry first
             token = self.token[node]
             if token >= 0 and (before is None or self.compatible(before, token)):
-                change = count + 1
-                break
-        new = (token, tuple((n, b, c - change) for n, b, c in reached if self.inner[n]))
+                return token, count + 1, reached
+        raise AssertionError("every byte is a token")
+
+    def _compile(self, state: int, byte: int) -> int:
+        token, change, reached = self._step(state, byte)
+        inner = self.inner
+        new = (token, tuple([(n, b, c - change) for n, b, c in reached if inner[n]]))
         out = self.table[state << 8 | byte] = (self._number(new) << 8) + change + BASE
         return out
 
+    def _end(self, state: int, byte: int) -> int:
+        """A transition at the end of a pretoken, which needs no state to go on from."""
+        out = self.ends[state << 8 | byte] = self._step(state, byte)[1] + BASE
+        return out
+
     def run(self, data: bytes, entry: tuple = START) -> tuple[tuple, int]:
         """The state after ``data`` and the tokens counted. Full tables are begun anew, inside a pretoken too."""
         state, total = self._number(entry), 0
@@ -143,7 +153,19 @@ class Machine:
 
     def count(self, pretoken: bytes) -> int:
         """Tokens of one pretoken."""
-        return self.run(pretoken)[1]
+        if len(pretoken) > STRETCH:
+            return self.run(pretoken)[1]
+        if len(self.states) + len(self.ends) // 4 > MOST_STATES:
+            self.reset()
+        state = total = 0
+        get = self.table.get
+        for byte in pretoken[:-1]:
+            step = get(state << 8 | byte) or self._compile(state, byte)
+            state = step >> 8
+            total += (step & 255) - BASE
+        at = state << 8 | pretoken[-1]
+        step = get(at) or self.ends.get(at) or self._end(state, pretoken[-1])
+        return total + (step & 255) - BASE
 
 
 class ChunkMap:
@@ -218,8 +240,8 @@ class Counter:
         specials = [t["content"] for t in json.loads(definition).get("added_tokens", [])]
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(specials, key=len, reverse=True))) + ")") if specials else None
         self.special_set = set(specials)
-        self.words: Remembered = Remembered(lambda word: self.machine.count(word.encode("utf-8")), MEMORY // 2)
-        self.parts: Remembered = Remembered(self._part, MEMORY // 2)
+        self.words: Remembered = Remembered(lambda word: self.machine.count(word.encode("utf-8")), MEMORY_WORDS, ENTRY)
+        self.parts: Remembered = Remembered(self._part, MEMORY_PARTS, ENTRY)
 
     def _part(self, part: str) -> int:
         """A part that follows a space. Letters alone are one pretoken with it, and so is a last sign a second one."""
