@@ -236,14 +236,11 @@ _ANSWERS = f"ans AS ({ORACLES['extractive_answer']})"
 _REFS_OF = r"list_transform(regexp_extract_all({0}, '\[(\d+)\]', 1), lambda y: y::INT)"
 
 
-@query(rf"""{_TOP5}, {_ANSWERS},
+ORACLES["cited_answers"] = rf"""{_TOP5}, {_ANSWERS},
 refs AS (SELECT query_id, unnest(list_distinct_in_order) AS ref, unnest(range(len(list_distinct_in_order))) AS place FROM (SELECT query_id, list_filter(r, lambda y, i: list_position(r, y) = i AND y BETWEEN 1 AND n) AS list_distinct_in_order
  FROM (SELECT query_id, {_REFS_OF.format('answer')} AS r, (SELECT count(*) FROM top5 WHERE item_id = query_id) AS n FROM ans)))
 SELECT query_id, place::INT AS "at", ref, source AS document, doc_id::VARCHAR AS chunk_id, page, round(score, 6) AS score, CASE WHEN length(text) > 300 THEN rtrim(left(text, 300), chr(9) || chr(10) || chr(13) || ' ') || '...' ELSE text END AS snippet
-FROM refs JOIN top5 ON item_id = query_id AND rank = ref""")
-def cited_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["cited_answers"](spark, sf_dir)
-
+FROM refs JOIN top5 ON item_id = query_id AND rank = ref"""
 
 _MOVED = r"regexp_replace(answer, '([.!?])\s*((?:\[\d+(?:\s*,\s*\d+)*\]\s*)*\[\d+(?:\s*,\s*\d+)*\])\s*', ' \2\1 ', 'g')"
 _PLAIN = r"trim(regexp_replace(regexp_replace({0}, '\[(\d+(?:\s*,\s*\d+)*)\]', '', 'g'), '\s{{2,}}', ' ', 'g'))"
