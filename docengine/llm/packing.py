@@ -15,7 +15,7 @@ import re
 import zlib
 from array import array
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +26,9 @@ from pyspark.sql import types as T
 from .common import cut, named
 
 LIMIT = 1024
-#: Bytes of a worker's memory of encoded words, of which none is longer than LONGEST_WORD letters (some 256 bytes an entry at most).
-MEMORY, ENTRY, LONGEST_WORD = 48 << 20, 256, 48
 PIECES_PER_SALT = 20_000
 #: What stands for the end of a document.
 END_ID = 2
-TWO_SPACES = re.compile(r"\s\s")
-RESET = re.compile(r"(?<=\S) (?=\S)")
 #: Runs of white space (as Unicode has it) that are too long for the encoder's pattern, which tracks back over each character.
 LONG_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{4096,}")
 
@@ -52,19 +48,11 @@ def vocabulary(definition: str) -> tuple[dict[bytes, int], dict[str, int]]:
     return {bytes(map(letters.__getitem__, t)): i for t, i in j["model"]["vocab"].items() if t not in special}, special
 
 
-def between_resets(text: str) -> list[str]:
-    """The parts of a text between single spaces that stand between two characters that aren't white space.
-
-    Such a space begins a new pretoken wherever it stands.
-    """
-    return RESET.split(text) if TWO_SPACES.search(text) else text.split(" ")
-
-
 class Encoder:
     """Ids of whole texts, as little-endian unsigned 32-bit numbers in bytes.
 
-    A text is encoded in the parts between resets, which are remembered, as most recur. ids come from the merge ranks of
-    the same vocabulary, so they are those of the tokenizer the definition is of.
+    ids come from the merge ranks of the same vocabulary, so they are those of the tokenizer the definition is of. They stay
+    in a buffer and never become a list of numbers, which costs more than encoding.
 
     The last character of a run of white space goes to what follows it and the rest is one pretoken, so long runs are cut
     out by that rule instead of by the pattern.
@@ -77,13 +65,10 @@ class Encoder:
         ranks, special = vocabulary(definition)
         self.encoding = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
-        self.inner = Remembered(lambda part: self.plain(" " + part))
 
     def plain(self, text: str) -> bytes:
-        if len(text) >= 4096 and LONG_RUN.search(text):
-            sections = self.special.split(text) if self.special else [text]
-            return b"".join(ids for section in sections for ids in self._with_runs(section))
-        return array("I", self.encoding.encode(text, allowed_special="all")).tobytes()
+        """ids of a text without long runs of white space."""
+        return self.encoding.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False).tobytes()
 
     def _with_runs(self, section: str) -> Iterator[bytes]:
         """ids of a text that is one special string or holds none, with its long runs of white space taken apart."""
@@ -92,31 +77,13 @@ class Encoder:
             yield self.plain(section[at : run.start()])
             at = run.end() if run.end() == len(section) else run.end() - 1
             yield array("I", self.encoding._encode_single_piece(section[run.start() : at])).tobytes()
-        if rest := section[at:]:
-            yield array("I", self.encoding.encode(rest, allowed_special="all")).tobytes()
+        yield self.plain(section[at:])
 
     def __call__(self, text: str) -> bytes:
         if len(text) >= 4096 and LONG_RUN.search(text):
-            return self.plain(text)
-        first, *parts = between_resets(text)
-        return self.plain(first) + b"".join(map(self.inner.__getitem__, parts))
-
-
-class Remembered(dict):
-    """What ``of`` gives for a key, remembered for short keys until MEMORY is full, then forgotten and begun again."""
-
-    def __init__(self, of: Callable, memory: int = MEMORY, entry: int = ENTRY):
-        super().__init__()
-        self.of = of
-        self.most = memory // entry
-
-    def __missing__(self, key: str | int):
-        out = self.of(key)
-        if isinstance(key, int) or len(key) <= LONGEST_WORD:
-            if len(self) >= self.most:
-                self.clear()
-            self[key] = out
-        return out
+            sections = self.special.split(text) if self.special else [text]
+            return b"".join(ids for section in sections for ids in self._with_runs(section))
+        return self.plain(text)
 
 
 _ENCODERS: dict[int, Encoder] = {}

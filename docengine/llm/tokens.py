@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import named
-from .packing import Remembered, between_resets, byte_of_letter
+from .packing import byte_of_letter
 
 #: Characters of a chunk, or bytes where it lies inside one pretoken.
 CHUNK = 1 << 16
@@ -36,6 +36,8 @@ CHUNK = 1 << 16
 MOST_STATES, STRETCH = 1 << 18, 1024
 #: Bytes of a worker's memory of counts, for words and for parts of texts, and of an entry of it.
 MEMORY_WORDS, MEMORY_PARTS, ENTRY = 32 << 20, 80 << 20, 160
+#: Letters of the longest word that is remembered, and bytes of a worker's memory of edges of tokens.
+LONGEST_WORD, MEMORY_EDGES = 48, 48 << 20
 #: Bytes before a chunk from which the state at its start is guessed.
 BEFORE = 64
 BASE = 128
@@ -43,9 +45,36 @@ BASE = 128
 START: tuple = (None, ())
 #: Where a pretoken ends whatever stands around: before white space, and after letters or digits before anything else.
 SAFE_CUT = r"(?<=\S)(?=\s)|(?<=\p{L})(?=[^\s\p{L}])|(?<=\p{N})(?=[^\s\p{N}])"
+TWO_SPACES = re.compile(r"\s\s")
+RESET = re.compile(r"(?<=\S) (?=\S)")
 X = TypeVar("X")
 
 
+def between_resets(text: str) -> list[str]:
+    """The parts of a text between single spaces that stand between two characters that aren't white space.
+
+    Such a space begins a new pretoken wherever it stands.
+    """
+    return RESET.split(text) if TWO_SPACES.search(text) else text.split(" ")
+
+
+class Remembered(dict):
+    """What ``of`` gives for a key, remembered for short keys until MEMORY is full, then forgotten and begun again."""
+
+    def __init__(self, of: Callable, memory: int, entry: int):
+        super().__init__()
+        self.of = of
+        self.most = memory // entry
+
+    def __missing__(self, key: str | int):
+        out = self.of(key)
+        if isinstance(key, int) or len(key) <= LONGEST_WORD:
+            if len(self) >= self.most:
+                self.clear()
+            self[key] = out
+        return out
+
+
 class Machine:
     """The transducer for one pretoken."""
 
@@ -79,8 +108,8 @@ class Machine:
                     self.inner.append(False)
                 node = step
             self.token[node] = i
-        self.right = Remembered(lambda t: self._edge(t, 1))
-        self.left = Remembered(lambda t: self._edge(t, 0))
+        self.right = Remembered(lambda t: self._edge(t, 1), MEMORY_EDGES, 256)
+        self.left = Remembered(lambda t: self._edge(t, 0), MEMORY_EDGES, 256)
         self.reset()
 
     def reset(self) -> None:
