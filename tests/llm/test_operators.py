@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import random
 import re
 import zlib
@@ -338,15 +339,33 @@ def test_op5_scripts_without_case():
 
 
 # ---------------------------------------------------------------------------------------------------------------- simhash
-def plain_fingerprint(t: str | None) -> int:
-    w = ["".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x) for x in WORD.findall(t or "")]
+def plain_words(t: str | None) -> list[str]:
+    return ["".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x) for x in WORD.findall(t or "")]
+
+
+def plain_fingerprint(t: str | None, k: int = 3) -> int:
+    w = plain_words(t)
     if not w:
         return 0
-    shingles = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or [" ".join(w)]
+    shingles = [" ".join(w[i : i + k]) for i in range(len(w) - k + 1)] or [" ".join(w)]
     h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
     return sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h))
 
 
+def plain_mark(t: str | None) -> tuple[int, ...]:
+    """Of the words under two hashes, with weights, and of the five-word shingles."""
+    w, out = plain_words(t), []
+    weight = {x: round(16 * (1 + math.log(w.count(x)))) for x in set(w)}
+    for seed in (0, 1):
+        h = {x: xxhash.xxh64_intdigest(x.encode(), seed) for x in weight}
+        out.append(sum(1 << b for b in range(64) if sum(n for x, n in weight.items() if h[x] >> b & 1) * 2 > sum(weight.values())))
+    return *out, plain_fingerprint(t, 5)
+
+
+def plain_near(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
+    return (a[2] ^ b[2]).bit_count() <= 12 and any((x ^ y).bit_count() <= 2 for x, y in zip(a[:2], b[:2]))
+
+
 def plain_components(pairs, nodes):
     parent = {n: n for n in nodes}
 
@@ -401,6 +420,28 @@ def test_op6_edges_and_keep_one(spark, edge):
     assert simhash.near_duplicates(empty(spark)).count() == 0 and simhash.keep_one(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("hot", [64, 1])
+def test_keep_one_finds_changed_copies(spark, monkeypatch, hot):
+    """A key with few and with many nodes, in blocks of 16, against all pairs."""
+    monkeypatch.setattr(simhash, "HOT", hot)
+    monkeypatch.setattr(simhash, "GROUP", 16)
+    rng = random.Random(5)
+    words = ["".join(rng.choices("aeioulmnrst", k=rng.randint(3, 8))) for _ in range(3000)]
+    texts = [" ".join(rng.choices(words, k=300)) for _ in range(20)]
+    for _ in range(60):  # one group of 60 near copies, of which up to 6 of 300 words were changed
+        near = texts[0].split()
+        for at in rng.sample(range(300), rng.randint(1, 6)):
+            near[at] = rng.choice(words)
+        texts.append(" ".join(near))
+    texts += [texts[1], " ".join(sorted(texts[2].split())), " ".join(texts[3].split()[:60]), "", " "]
+    marks = dict(enumerate(map(plain_mark, texts)))
+    want = plain_components([(a, b) for a in marks for b in marks if a < b and plain_near(marks[a], marks[b])], marks)
+    kept = {r.doc_id for r in simhash.keep_one(make(spark, [(i, t, "en", "a", len(t)) for i, t in enumerate(texts)])).collect()}
+    assert kept == set(want.values())
+    assert len(kept & set(range(20, 80))) <= 6  # nearly all changed copies go
+    assert {*range(20), 81, 82, 83} <= kept and not {80, 84} & kept  # other orders and parts of texts stay
+
+
 def test_salted_join(spark):
     many = spark.range(4000).select(F.when(F.col("id") % 2 == 0, 7).when(F.col("id") % 10 == 1, None).otherwise(F.col("id")).alias("k"), "id")
     few = spark.range(3000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("x"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline as P
 from docengine.llm import line_rules
 
-from .test_operators import DOCS, plain_components, plain_fingerprint, waterfill
+from .test_operators import DOCS, plain_components, plain_mark, plain_near, waterfill
 
 
 @pytest.fixture(scope="module")
@@ -30,8 +30,8 @@ def test_quality_rules(steps):
 
 
 def test_near_dedup(steps):
-    fp = {r.doc_id: plain_fingerprint(r.text) for r in steps["quality_rules"].itertuples()}
-    pairs = [(a, b) for a in fp for b in fp if a < b and bin(fp[a] ^ fp[b]).count("1") <= 2]
+    fp = {r.doc_id: plain_mark(r.text) for r in steps["quality_rules"].itertuples()}
+    pairs = [(a, b) for a in fp for b in fp if a < b and plain_near(fp[a], fp[b])]
     assert set(steps["simhash_near_dedup"].doc_id) == set(plain_components(pairs, fp).values())
 
 
