@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import fresh, named
+from .common import WHITE_SPACE, fresh, named
 
 SYMBOLS = "#*$%&|<>"
 #: Phrases of site furniture, lower case.
@@ -76,7 +76,7 @@ def repeated_words(words: list[bytes], window: int = 5) -> int:
 
 def line_passes(line: str, rules: LineRules) -> bool:
     """Whether a line that has a word stays."""
-    n = len(line.split())
+    n = len(line.encode("utf-8").split())  # as in whole texts, at exactly the six ASCII white-space characters
     if line.count("|") >= rules.bars:  # navigation and tables cut into cells
         return False
     if sum(map(line.count, SYMBOLS)) > rules.symbols_per_word * n:
@@ -88,7 +88,7 @@ def line_passes(line: str, rules: LineRules) -> bool:
         return False
     if n <= rules.short or SENTENCE.search(line):
         return True
-    return 2 * len(UNMARKED.findall(line)) > sum(map(len, line.split()))
+    return 2 * len(UNMARKED.findall(line)) > len(line) - sum(map(line.count, WHITE_SPACE))
 
 
 def judge(text: str | None, rules: LineRules = LineRules()) -> tuple:
@@ -101,7 +101,7 @@ def judge(text: str | None, rules: LineRules = LineRules()) -> tuple:
     raw = text.encode("utf-8")
     words = raw.split()  # bytes split at exactly the six ASCII white-space characters
     n = len(words)
-    chars = len(text) - sum(map(text.count, " \t\n\x0b\x0c\r"))
+    chars = len(text) - sum(map(text.count, WHITE_SPACE))
     symbols = sum(map(text.count, SYMBOLS))
     lines = text.split("\n")
     filled = [x for x in lines if x.strip(" \t\x0b\x0c\r")]

@@ -23,9 +23,10 @@ hit AS (SELECT DISTINCT r, i + unnest(range(5)) AS p FROM win WHERE c > 1),
 rep AS (SELECT r, count(*) AS n_repeat_words FROM hit GROUP BY r),
 ln AS (SELECT r, line, len({_WORDS.format('line')}) AS n, length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) AS sym FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d)),
 judged AS (SELECT r, line, n, NOT (length(regexp_replace(line, '[^|]', '', 'g')) >= 3 OR sym > 0.3::DOUBLE * n
-  OR (n > 1 AND upper(line) = line AND length(regexp_replace(line, '[^\p{{L}}]', '', 'g')) >= 20)
+  OR (n > 1 AND upper(line) = line AND length(regexp_replace(line, '[^\p{{Lu}}]', '', 'g')) >= 20)
   OR regexp_matches(lower(line), '\b(?:cookie policy|privacy policy|terms of (?:use|service)|all rights reserved|accept (?:all )?cookies|enable javascript|javascript is (?:disabled|required)|click here to|sign up for our newsletter|subscribe to our newsletter|skip to (?:main )?content|lorem ipsum|powered by wordpress|add to cart|forgot your password)\b')
-  OR NOT (n <= 12 OR regexp_matches(line, '[.!?…。！？]'))) AS ok FROM ln WHERE n > 0),
+  OR NOT (n <= 12 OR regexp_matches(line, '[.!?…。！？｡．؟۔।॥։።፧។៕။།༎᠃᠉]')
+    OR 2 * length(regexp_replace(line, '[^\x{{0E00}}-\x{{0EFF}}]', '', 'g')) > length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')))) AS ok FROM ln WHERE n > 0),
 lines AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines, coalesce(sum(n) FILTER (ok), 0)::BIGINT AS n_kept_words FROM judged GROUP BY r),
 f AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
   coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(n_kept_words, 0)::BIGINT AS n_kept_words FROM d LEFT JOIN rep USING (r) LEFT JOIN lines USING (r)),

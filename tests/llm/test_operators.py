@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from docengine.llm import components, language, line_rules, mixing, packing, pii, pivots, quality_fm, simhash, tokens, url_filter
 from docengine.llm.common import draw, fold_of, fresh, salted_join, table, word_count
-from docengine.llm.queries import QUERIES, definition
+from docengine.llm.queries import ORACLES, QUERIES, definition
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -338,6 +338,23 @@ def test_op5_scripts_without_case():
     assert line_rules.judge("\n".join(lines.values()))[6]
 
 
+def test_op5_sql_on_all_scripts(spark):
+    """The SQL and the operator agree line by line, also where words are parted by other white space than ASCII's."""
+    import duckdb
+
+    words = ["शब्द", "ประโยค", "كلمة", "слово", "СЛОВО", "WORDS", "word", "낱말", "a\u00a0b\u2003c", "x\x1cy", "No.", "है।", "؟", "句子。", "||", "#"]
+    rng = random.Random(8)
+    lines = [" ".join(rng.choices(rng.sample(words, 3), k=rng.choice((2, 7, 12, 13, 14)))) for _ in range(600)]
+    rows = [(i, "\n".join(rng.choices(lines, k=rng.randint(1, 5))), "en", "a", 1) for i in range(600)] + [(600, None, None, None, None), (601, "", "en", "a", 0)]
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text", "lang", "source", "n_chars"]))
+    want = con.sql(ORACLES["op5_line_rules"]).df().set_index("doc_id")
+    for i, text, *_ in rows:
+        n, chars, symbols, duplicates, again, failed, kept, kept_words, _ = line_rules.judge(text)
+        r = want.loc[i]
+        assert (n, chars, symbols, duplicates, again, failed, kept, kept_words) == (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept, r.n_kept_words), repr(text)
+
+
 # ---------------------------------------------------------------------------------------------------------------- simhash
 def plain_words(t: str | None) -> list[str]:
     return ["".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x) for x in WORD.findall(t or "")]
