@@ -63,7 +63,7 @@ def tokenize(text: Column, drop_stopwords: bool = True, stemming: bool = True) -
 def split_sentences(text: Column) -> Column:
     """Sentences of the text with its white space collapsed."""
     flat = F.trim(F.regexp_replace(text, rf"{WHITE}+", " "))
-    return F.filter(F.transform(F.split(flat, SENTENCE_GAP), F.trim), lambda s: s != "")
+    return F.filter(F.split(flat, SENTENCE_GAP), lambda s: s != "")  # gaps take all white space there is between sentences
 
 
 def citation_refs(answer: Column) -> Column:

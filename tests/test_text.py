@@ -58,6 +58,12 @@ def test_t4_sentences(spark):
     assert column(spark, ['One. "Two?" (Three)\u00a0went.\n\n4 is. five. É no.', "  ", ""], X.split_sentences) == [['One.', '"Two?" (Three) went.', "4 is. five. É no."], [], []]
 
 
+def test_t4_sentences_keep_digits(spark):
+    """Digits at the ends of sentences stay, also where they are the sentence's number."""
+    said = ["0 one 0", "10.1.1.1 two +1 (252) 555-8631", "2", "33 four 33"]
+    assert column(spark, [". ".join(said), "One.\n" + "12 two.\t" * 12], X.split_sentences) == [["0 one 0.", "10.1.1.1 two +1 (252) 555-8631.", "2.", "33 four 33"], ["One."] + ["12 two."] * 12]
+
+
 def test_t5_t6_t7_citations(spark):
     assert column(spark, ["a [2] b [1, 3] c [2]", "none", ""], X.citation_refs) == [[2, 1, 3], [], []]
     assert column(spark, ["a [2]  b [1, 3]. ", "x"], X.strip_citations) == ["a b .", "x"]
