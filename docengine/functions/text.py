@@ -6,6 +6,7 @@ All of them give null for null. Regular expressions are Java's; ``(?U)`` makes w
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -35,6 +36,22 @@ def strip(x: Column) -> Column:
     return F.regexp_replace(x, rf"^{WHITE}+|{WHITE}+\z", "")
 
 
+@cache
+def _capitals() -> tuple[str, str]:
+    """The code points that have a capital of one code point, and these capitals."""
+    pairs = {"ß": "ẞ"}
+    for c in map(chr, range(0x20000)):  # planes 0 and 1; the others have no letters of two cases
+        one = next((u for u in (c.upper(), c.title()) if len(u) == 1), c)
+        if one != c:
+            pairs[c] = one
+    return "".join(pairs), "".join(pairs.values())
+
+
+def upper(x: Column) -> Column:
+    """Capitals one for one, as in SQL: ``ẞ`` for ``ß`` where Spark's own function writes ``SS``; ligatures have none and stay."""
+    return F.translate(x, *_capitals())
+
+
 def _without_last(x: Column, n: int) -> Column:
     return F.left(x, F.length(x) - n)
 
